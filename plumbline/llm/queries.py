@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, secrets, winnow
+from . import bpe, langid, ngram_join, secrets, winnow
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_language_id": langid.op4_language_id,
     "op5_decontamination": winnow.op5_decontamination,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
 }
 ORACLES = {
     "op3_secret_scans": secrets.ORACLE,
