@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, ngram_join, secrets, winnow
+from . import bpe, langid, ngram_join, quality, secrets, warc, winnow
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_language_id": langid.op4_language_id,
     "op5_decontamination": winnow.op5_decontamination,
+    "op6_warc": warc.op6_warc,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op3_secret_scans": secrets.ORACLE,
     "op5_decontamination": winnow.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
