@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, ngram_join, quality, secrets, warc, winnow
+from . import bpe, hmm, langid, ngram_join, quality, secrets, warc, winnow
 
 QUERIES = {
+    "op1_lm_scoring": hmm.op1_lm_scoring,
     "op2_bpe": bpe.op2_bpe,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_language_id": langid.op4_language_id,
