@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, hmm, langid, ngram_join, quality, secrets, warc, winnow
+from . import ann, bpe, hmm, langid, ngram_join, quality, secrets, templates, warc, winnow
 
 QUERIES = {
     "op1_lm_scoring": hmm.op1_lm_scoring,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontamination": winnow.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+    "op8_html_extraction": templates.op8_html_extraction,
     "op9_neighbours": ann.op9_neighbours,
     "op10_quality": quality.op10_quality,
 }
