@@ -12,6 +12,9 @@ path too, so states are filled in from left to right: for each position, a trie
 on, and a label that ends somewhere is taken if the state here has the arc. All distinct words of a block
 walk in step, as numpy arrays; a word of more than 64 bytes goes by itself. Decoding emits the labels' bytes.
 
+A list of merges is compiled if each merge's result is a token of its own, as in every list that training
+makes; another one raises ValueError.
+
 Pre-splitting is the usual one for byte-level vocabularies: contractions, runs of letters, digits or other
 signs with a blank before, runs of white space. Special tokens' strings in a text are ordinary text.
 
@@ -53,7 +56,7 @@ class Automaton:
     def __init__(self, base: list[bytes], merges: list[tuple[bytes, bytes]]) -> None:
         label = {b: i for i, b in enumerate(base)}
         target, column = [0] * len(base), [0] * len(base)
-        into, of = [len(base)], [len(base)]  # how many labels lead to a state, are of a class
+        into, of = [len(base) + 1], [len(base)]  # how many labels lead to a state (and the start), are of a class
         self.bytes = list(base)
         gadgets: list[tuple[int, int, int, int]] = []  # state and class to copy, state and class whose arc goes
         for u_bytes, v_bytes in merges:
@@ -112,6 +115,9 @@ class Automaton:
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.lens = np.array([len(b) for b in self.bytes], np.int64)
         self.offsets = np.cumsum(self.lens) - self.lens
+        own, counts = self.encode(self.bytes)
+        if (counts != 1).any() or (own != np.arange(len(own))).any():
+            raise ValueError("a merge's result is no token of its own, as in a list that training makes")
 
     def has(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Whether the states have arcs with these labels."""
@@ -148,6 +154,8 @@ class Automaton:
                     t = t[self.has(here[t], token[t])]
                     last[live[t], j + 1] = token[t]
                     state[live[t], j + 1] = self.target[token[t]]
+            if (last[np.arange(len(rows)), size][size > 0] < 0).any():
+                raise ValueError("no path spells a word")
             at, steps = size.copy(), []
             while (at > 0).any():
                 r = np.flatnonzero(at > 0)
@@ -183,6 +191,8 @@ class Automaton:
                         last[j + 1], state[j + 1] = token, int(target[token])
         out, at = [], n
         while at:
+            if last[at] < 0:
+                raise ValueError("no path spells a word")
             out.append(last[at])
             at -= len(self.bytes[last[at]])
         return np.array(out[::-1], np.int32)

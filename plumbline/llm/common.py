@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Byte that UTF-8 never holds; it stands after each text of a block.
 END = 0xFF
@@ -38,6 +40,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what nothing refers to any more; it waits for a collection otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def without(docs: DataFrame, gone: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (one column of distinct bigints); rows with a null doc_id stay.
+
+    gone is broadcast if it has at most so many rows (8 bytes each); else both sides are shuffled.
+    """
+    gone = checkpoint(gone.toDF("_gone"))
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches whose text is max_bytes long at most, or one row; the text column comes beside."""
     for batch in batches:

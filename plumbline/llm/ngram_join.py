@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, gram_hashes, joined, lists, mix, table, word_hashes
+from .common import blocks, checkpoint, gram_hashes, joined, lists, mix, release, table, without, word_hashes
 
-N, THRESHOLD, COMMON = 3, 0.5, 4
+N, THRESHOLD, COMMON = 3, 0.5, 8
 #: N-grams looked at together for repetitions, and how many repetitions make one frequent.
-WINDOW, FREQUENT = 4_000_000, 6
+WINDOW, FREQUENT = 4_000_000, 2
 #: Entries of a broadcast table at most (8 to 16 bytes each); beyond, the frequent n-grams kept are the most frequent, and sets are joined without the filter before.
 BROADCAST = 2_000_000
 #: Sorts before every n-gram that is frequent.
@@ -317,10 +317,12 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     by_gram = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists, "leader bigint, prints array<bigint>, sizes array<int>")
     counted = by_gram.repartition("leader").sortWithinPartitions("leader").mapInArrow(_pairs(threshold), "a bigint, b bigint, common int, leader bigint, larger int")
     # the set that shares a pair's most lists is its leader; what small sets can't have in common isn't asked
-    candidates = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max(F.struct("common", "leader")).alias("most"), F.max("larger").alias("larger"))
+    candidates = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max_by("leader", "common").alias("leader"), F.max("larger").alias("larger"))
     candidates = candidates.where(F.col("common") >= F.least(F.lit(common), F.ceil(F.lit(threshold) * F.col("larger") - 1e-9)))
-    members = candidates.select(F.col("most.leader").alias("leader"), F.explode(F.array("a", "b")).alias("print")).distinct()
+    members = candidates.select("leader", F.explode(F.array("a", "b")).alias("print")).distinct()
     members = checkpoint(members)
+    del prefixes, by_gram, counted, candidates
+    release(spark)
     wanted = members.select("print").distinct()
     chosen = None
     if wanted.count() <= broadcast:
@@ -393,8 +395,7 @@ def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, commo
 
     Rows that repeat a doc_id stay or go together; rows with a null doc_id or text, or without words, stay.
     """
-    gone = groups(docs, n, threshold, common).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, groups(docs, n, threshold, common).select("doc_id"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

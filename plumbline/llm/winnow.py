@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, gram_hashes, joined, table, word_hashes
+from .common import blocks, gram_hashes, joined, table, without, word_hashes
 
 K, W = 5, 4
 BROADCAST_WORDS = 4_000_000
@@ -201,5 +201,4 @@ FROM run GROUP BY doc_id, item_id, i - j, r
 
 def drop(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """The rows of docs that share no span with the benchmark, with all columns; rows with a null doc_id stay."""
-    gone = contaminated(docs, benchmark, k, w).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, contaminated(docs, benchmark, k, w).select("doc_id").distinct())
