@@ -10,7 +10,7 @@ first place, are the host's template. What remains of a page's words between two
 
 A host's pages are brought together in blocks of about BLOCK_PAGES by a hash, so that a host of any size is
 spread over tasks; classes are made of the blocks' sums. A role takes part if it is in at least SUPPORT of the
-pages of every block of its host. Templates are joined to pages by host, as Spark sees fit.
+pages of every block of its host. Templates are joined to pages by host, broadcast if they are few enough.
 
 Result: (page_id, slot, occurrence, text): slot is the place in the template of the token before it, -1 for
 none, occurrence counts the slot's repetitions in the page from 0; empty slots give no row. Pages of hosts with
@@ -32,6 +32,8 @@ from .common import SOLID, blocks, checkpoint, joined, mix, table, word_hashes
 from .ngram_join import _cuts, _runs
 
 LEAST_PAGES, LEAST_SIZE, SUPPORT, BLOCK_PAGES = 4, 2, 0.5, 2048
+#: Roles of all templates together (some 40 bytes each) up to which they are broadcast to the pages; beyond, both are shuffled by host.
+BROADCAST_ROLES = 1_000_000
 #: Hosts that may be spread over several blocks.
 LARGE_HOSTS = 100_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -278,12 +280,17 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float =
     flat = flat.select("host", (F.col("no") + F.col("c.other").cast("int") * 1_000_000).alias("class"), "c.roles", F.col("c.other").alias("other"))
     flat = flat.select("host", F.when(F.col("other"), F.col("class")).otherwise(0).alias("class"), F.size("roles").alias("size"), F.posexplode("roles").alias("index", "r"))
     candidates = checkpoint(_arranged(flat.select("host", "class", "size", "index", F.col("r.at").alias("at"), F.col("r.role").alias("role"))))
-    bad = rows.join(candidates, "host").select("host", "html", "roles", "classes", "indexes", "sizes").mapInArrow(_broken, "host string, class int").distinct()
+    bad = rows.join(_sent(candidates), "host").select("host", "html", "roles", "classes", "indexes", "sizes").mapInArrow(_broken, "host string, class int").distinct()
     kept = candidates.select("host", F.explode(F.arrays_zip("roles", "classes", "indexes", "sizes", "ats")).alias("r"))
     kept = kept.select("host", F.col("r.classes").alias("class"), F.col("r.sizes").alias("size"), F.col("r.indexes").alias("index"), F.col("r.ats").alias("at"), F.col("r.roles").alias("role"))
     return _arranged(kept.join(bad, ["host", "class"], "left_anti"))
 
 
+def _sent(found: DataFrame) -> DataFrame:
+    size = found.agg(F.sum(F.size("roles"))).first()[0] or 0
+    return F.broadcast(found) if size <= BROADCAST_ROLES else found
+
+
 def _arranged(roles: DataFrame) -> DataFrame:
     """Rows (host, class, size, index, at, role) as one row of arrays for each host."""
     r = roles.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "role", "class", "index", "size"))).alias("r"))
@@ -292,8 +299,8 @@ def _arranged(roles: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The slots of pages (page_id, url, html), by these templates or by their own."""
-    found = templates(pages) if found is None else found
-    return _narrow(pages).join(found.select("host", "roles"), "host", "left").select("host", "html", "page_id", "roles").mapInArrow(_slots, SCHEMA)
+    found = checkpoint((templates(pages) if found is None else found).select("host", "roles"))
+    return _narrow(pages).join(_sent(found), "host", "left").select("host", "html", "page_id", "roles").mapInArrow(_slots, SCHEMA)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
