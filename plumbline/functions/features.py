@@ -118,11 +118,14 @@ def _rate(dimension: str, amount: Column) -> Column:
 def cadence(settings: Settings) -> Column:
     """1 less the variation of sentence lengths: 0 from a coefficient of variation of 0.6 on, or under 3 sentences."""
     lengths = F.transform("sents", lambda x: T.word_count(x).cast("double"))
-    n = F.size("sents")
-    total = lambda f: F.aggregate(lengths, F.lit(0.0), lambda a, x: a + f(x))
-    mean = total(lambda x: x) / n
-    variance = F.greatest(F.lit(0.0), total(lambda x: x * x) / n - mean * mean)
-    return F.when((n >= 3) & (mean > 0), F.greatest(F.lit(0.0), 1 - F.sqrt(variance) / mean / 0.6)).otherwise(F.lit(0.0))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+
+    def of(xs: Column) -> Column:
+        mean = total(xs, lambda x: x) / F.size(xs)
+        spread = lambda m: F.greatest(F.lit(0.0), 1 - F.sqrt(total(xs, lambda x: (x - m) * (x - m)) / F.size(xs)) / m / 0.6)
+        return T.let(mean, lambda m: F.when(m > 0, spread(m)).otherwise(F.lit(0.0)))
+
+    return F.when(F.size("sents") >= 3, T.let(lengths, of)).otherwise(F.lit(0.0))
 
 
 def dash_signal() -> Column:

@@ -5,6 +5,8 @@ Every function takes and returns columns; a null text counts as empty. Offsets c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,12 +21,21 @@ _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
-def _when_has(text: Column, marks: tuple[str, ...], fixed: Column) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _when_has(text: Column, marks: tuple[str, ...], fixed: Callable[[Column], Column]) -> Column:
     """fixed where the text holds one of the marks; a byte search spares most texts the work."""
-    has = F.lit(False)
-    for mark in marks:
-        has = has | F.contains(text, F.lit(mark))
-    return F.when(has, fixed).otherwise(text)
+
+    def use(x: Column) -> Column:
+        has = F.lit(False)
+        for mark in marks:
+            has = has | F.contains(x, F.lit(mark))
+        return F.when(has, fixed(x)).otherwise(x)
+
+    return let(text, use)
 
 
 def _replaced(text: Column, by: dict[str, str]) -> Column:
@@ -35,25 +46,26 @@ def _replaced(text: Column, by: dict[str, str]) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Fenced code blocks become a line break each; an unclosed fence stays."""
-    return _when_has(text, ("```", "~~~"), F.regexp_replace(text, FENCE, "\n"))
+    return _when_has(text, ("```", "~~~"), lambda x: F.regexp_replace(x, FENCE, "\n"))
 
 
 def canonical(text: Column) -> Column:
     """Repaired text: common mis-decoded sequences, entities, ligatures, control characters, straight quotes, LF ends."""
     text = F.coalesce(text, F.lit(""))
-    text = _when_has(text, ("â€", "Ã", "Â"), _replaced(text, _MOJIBAKE))
-    text = F.when(F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("<")), _replaced(text, _ENTITIES)).otherwise(text)
-    text = _when_has(text, tuple(_LIGATURES), _replaced(text, _LIGATURES))
+    text = _when_has(text, ("â€", "Ã", "Â"), lambda x: _replaced(x, _MOJIBAKE))
+    text = let(text, lambda x: F.when(F.contains(x, F.lit("&")) & ~F.contains(x, F.lit("<")), _replaced(x, _ENTITIES)).otherwise(x))
+    text = _when_has(text, tuple(_LIGATURES), lambda x: _replaced(x, _LIGATURES))
     text = F.translate(text, "“”„‘’‚  ", "\"\"\"'''\n\n")
-    text = _when_has(text, ("\r",), F.regexp_replace(text, "\r\n?", "\n"))
-    return F.when(F.rlike(text, F.lit(r"[\x00-\x08\x0B\x0E-\x1F\x7F]")), F.regexp_replace(text, r"[\x00-\x08\x0B\x0E-\x1F\x7F]", "")).otherwise(text)
+    text = _when_has(text, ("\r",), lambda x: F.regexp_replace(x, "\r\n?", "\n"))
+    control = r"[\x00-\x08\x0B\x0E-\x1F\x7F]"
+    return let(text, lambda x: F.when(F.rlike(x, F.lit(control)), F.regexp_replace(x, control, "")).otherwise(x))
 
 
 def clean(text: Column) -> Column:
     """Runs of spaces and tabs as one space, CR LF and CR as LF."""
     text = F.coalesce(text, F.lit(""))
-    text = _when_has(text, ("\r",), F.regexp_replace(text, "\r\n?", "\n"))
-    return _when_has(text, ("  ", "\t"), F.regexp_replace(text, "[ \t]+", " "))
+    text = _when_has(text, ("\r",), lambda x: F.regexp_replace(x, "\r\n?", "\n"))
+    return _when_has(text, ("  ", "\t"), lambda x: F.regexp_replace(x, "[ \t]+", " "))
 
 
 def word_count(text: Column) -> Column:

@@ -107,10 +107,10 @@ def dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return score(planted(spark, sf)).select("doc_id", *(F.round(d, 6).alias(d) for d in DIMENSIONS))
 
 
-@query("model_contributions", f"{o.scores()} SELECT doc_id, {', '.join(f'round({w}::DOUBLE * {d}, 3) AS {d}' for d, w in o.MODEL.items() if w)} FROM s")
+@query("model_contributions", f"{o.scores()} SELECT doc_id, {', '.join(f'round({w}::DOUBLE * {d}, 3) + 0 AS {d}' for d, w in o.MODEL.items() if w)} FROM s")
 def model_contributions(spark: SparkSession, sf: str) -> DataFrame:
     rows = score(planted(spark, sf)).withColumn("c", contributions())
-    return rows.select("doc_id", *(F.round(F.lit(w) * F.col(d), 3).alias(d) for d, w in o.MODEL.items() if w))
+    return rows.select("doc_id", *((F.round(F.lit(w) * F.col(d), 3) + 0).alias(d) for d, w in o.MODEL.items() if w))
 
 
 _FOUND = ["doc_id", "rule_id", "severity", "start_char", "end_char", "span"]
