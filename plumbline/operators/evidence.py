@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import features
 from plumbline.functions import text as T
+from plumbline.functions.features import quoted
 from plumbline.operators import suppress
 from plumbline.rules import CODED, EM_DASH, LEXICON, PARTICIPLE, REWRITES, RULES, TRICOLON, Rule
 from plumbline.settings import DIMENSIONS, Settings
@@ -30,25 +31,36 @@ def _hits(found: Column, order: int, rule_id: Column, dimension: str, severity:
     )
 
 
-def _rule(rule: Rule, k: int, settings: Settings, replacement: str | None = None, confidence: float | None = None) -> Column:
-    severity = rule.severity if replacement is not None else settings.rule_severity.get(rule.rule_id, rule.severity)
-    hits = _hits(T.spans(F.col("t"), rule.java), _order(rule.dimension, k), F.lit(rule.rule_id), rule.dimension, F.lit(severity), F.lit(rule.explanation), replacement, confidence)
-    return F.when(features.may_match(rule), hits).otherwise(F.array().cast(_NONE))
+def _found(rule: Rule, k: int, severity: str, replacement: str | None = None, confidence: float | None = None) -> str:
+    """SQL of a struct of the rule and what its expression finds and leaves between; null where it can't match."""
+    fields = {
+        "ord": str(_order(rule.dimension, k)), "rule_id": quoted(rule.rule_id), "dimension": quoted(rule.dimension), "severity": quoted(severity), "explanation": quoted(rule.explanation),
+        "replacement": "CAST(NULL AS STRING)" if replacement is None else quoted(replacement), "confidence": "CAST(NULL AS DOUBLE)" if confidence is None else f"{confidence}D",
+        "m": f"regexp_extract_all(t, {quoted(rule.java)}, 0)", "g": f"split(t, {quoted(rule.java)}, -1)",
+    }
+    return f"CASE WHEN {features.may_match(rule)} THEN named_struct({', '.join(f'{quoted(n)}, {x}' for n, x in fields.items())}) END"
+
+
+def _placed(found: list[str]) -> Column:
+    """Hits of all rules: one fold over each rule's matches adds up the lengths before them."""
+    meta = ", ".join(f"'{x}', h.{x}" for x in ("rule_id", "dimension", "severity", "explanation", "replacement", "confidence"))
+    step = f"named_struct('at', a.at + length(x.g) + length(x.m), 'n', a.n + 1, 'out', array_append(a.out, named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'ord', h.ord, 'n', a.n, {meta})))"
+    zipped = "transform(h.m, (m, i) -> named_struct('m', m, 'g', h.g[i]))"
+    one = f"aggregate({zipped}, named_struct('at', 0, 'n', 0, 'out', CAST(array() AS {_NONE})), (a, x) -> {step}, a -> a.out)"
+    return F.expr(f"flatten(transform(filter(array({', '.join(found)}), h -> size(h.m) > 0), h -> {one}))")
 
 
 def _severity(rule_id: str, default: str, settings: Settings) -> Column:
     return F.lit(settings.rule_severity.get(rule_id, default))
 
 
-def _lexicon(settings: Settings) -> Column:
-    """One pass for all categories; each match is then given its category."""
-    used = [c for c in LEXICON if c.weight_in(settings.profile) > 0 and c.rule_id not in settings.disabled_rules]
-    parts = []
-    found = T.spans(F.col("t"), rf"(?iU)\b(?:{'|'.join(sorted((t for c in used for t in c.terms), key=lambda t: (-len(t), t)))})\b")
-    for k, c in enumerate(used):
-        own = F.filter(found, lambda x, c=c: F.lower(x["found"]).isin(list(c.terms)))
-        parts.append(_hits(own, _order("lexical_markers", k), F.lit(c.rule_id), "lexical_markers", _severity(c.rule_id, c.severity, settings), F.lit("word that polished text overuses")))
-    return F.concat(*parts) if parts else F.array().cast(_NONE)
+def _lexicon(settings: Settings) -> list[str]:
+    rules = [
+        (Rule(c.rule_id, "lexical_markers", c.severity, rf"\b(?:{'|'.join(sorted(c.terms, key=lambda t: (-len(t), t)))})\b", c.terms, "word that polished text overuses"), k)
+        for k, c in enumerate(LEXICON)
+        if c.weight_in(settings.profile) > 0 and c.rule_id not in settings.disabled_rules
+    ]
+    return [_found(r, k, settings.rule_severity.get(r.rule_id, r.severity)) for r, k in rules]
 
 
 def _dash(settings: Settings) -> Column:
@@ -69,9 +81,10 @@ def _coded(rule_id: str, regex: str, keep: Column, guard: Column, k: int, settin
 def hits(settings: Settings) -> Column:
     """All findings of a prepared row, in cleaned offsets, before suppression."""
     on = lambda dimension, rule_id: dimension not in settings.disabled_dimensions and rule_id not in settings.disabled_rules
-    parts = [_rule(r, k, settings) for k, r in enumerate(RULES) if on(r.dimension, r.rule_id)]
+    found = [_found(r, k, settings.rule_severity.get(r.rule_id, r.severity)) for k, r in enumerate(RULES) if on(r.dimension, r.rule_id)]
     if "lexical_markers" not in settings.disabled_dimensions:
-        parts.append(_lexicon(settings))
+        found += _lexicon(settings)
+    parts = [_placed(found)] if found else []
     if on("formatting_tells", EM_DASH):
         parts.append(_dash(settings))
     if on("superficial_analysis", PARTICIPLE):
@@ -85,8 +98,8 @@ def hits(settings: Settings) -> Column:
 
 def rewrites(settings: Settings) -> Column:
     """Shorter wordings; neither suppression nor severities change them."""
-    parts = [_rule(r.rule, k, settings, r.replacement, r.confidence) for k, r in enumerate(REWRITES) if r.rule.rule_id not in settings.disabled_rules]
-    return F.flatten(F.array(*parts)) if parts else F.array().cast(_NONE)
+    found = [_found(r.rule, k, r.rule.severity, r.replacement, r.confidence) for k, r in enumerate(REWRITES) if r.rule.rule_id not in settings.disabled_rules]
+    return _placed(found) if found else F.array().cast(_NONE)
 
 
 def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -118,6 +131,9 @@ def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> Data
 
 
 def findings(prepared: DataFrame, settings: Settings | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each finding, with the keys of its document and its ordinal."""
+    """A row for each finding, with the keys of its document and its ordinal.
+
+    The outer generator keeps the optimizer from repeating all rules in a filter for non-empty arrays.
+    """
     rows = with_evidence(prepared, settings).select(*keys, "evidence")
-    return rows.select(*keys, F.posexplode("evidence").alias("ordinal", "e")).select(*keys, "ordinal", *(F.col(f"e.{x}") for x in ("rule_id", "dimension", "severity", "start_char", "end_char", "span", "explanation", "suggestion")))
+    return rows.select(*keys, F.posexplode_outer("evidence").alias("ordinal", "e")).where("e is not null").select(*keys, "ordinal", *(F.col(f"e.{x}") for x in ("rule_id", "dimension", "severity", "start_char", "end_char", "span", "explanation", "suggestion")))

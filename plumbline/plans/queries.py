@@ -71,12 +71,12 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sentences", f"{o.cleaned()} SELECT doc_id, unnest(sents) AS sentence FROM d")
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(spark, sf).select("doc_id", "sents").select("doc_id", F.explode("sents").alias("sentence"))
+    return prepared(spark, sf).select("doc_id", "sents").select("doc_id", F.explode_outer("sents").alias("sentence")).where("sentence is not null")
 
 
 @query("paragraphs", f"{o.cleaned()} SELECT doc_id, unnest(list_filter(string_split_regex(t, E'\\n[ \\t]*\\n'), lambda x: regexp_matches(x, '\\S'))) AS paragraph FROM d")
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(spark, sf).select("doc_id", F.explode(T.paragraphs(F.col("t"))).alias("paragraph"))
+    return prepared(spark, sf).select("doc_id", F.explode_outer(T.paragraphs(F.col("t"))).alias("paragraph")).where("paragraph is not null")
 
 
 def _dimension(name: str) -> None:
@@ -146,7 +146,7 @@ _LINE = "1 + len(regexp_extract_all(substring(original, 1, start_char), E'\\n'))
 @query("line_col", f"{_EV} SELECT doc_id, rule_id, start_char, ({_LINE})::INT AS line, (1 + start_char - (CASE WHEN contains(substring(original, 1, start_char), E'\\n') THEN start_char - strpos(reverse(substring(original, 1, start_char)), E'\\n') + 1 ELSE 0 END))::INT AS col FROM ev WHERE {_QUIET}")
 def line_col(spark: SparkSession, sf: str) -> DataFrame:
     docs = prepared(spark, sf)
-    rows = evidence.with_evidence(docs, NO_LOOK).select("doc_id", "original", F.explode("evidence").alias("e")).where("e.rule_id <> 'PARALLEL_RULE_OF_THREE'")
+    rows = evidence.with_evidence(docs, NO_LOOK).select("doc_id", "original", F.explode_outer("evidence").alias("e")).where("e.rule_id <> 'PARALLEL_RULE_OF_THREE'")
     at = T.line_and_column(F.col("original"), F.col("e.start_char"))
     return rows.select("doc_id", "e.rule_id", "e.start_char", at["line"].alias("line"), at["col"].alias("col"))
 
@@ -279,7 +279,7 @@ def span_iou(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping pairs, document by document: an array of a few findings against itself rather than a range join."""
     only = frozenset(d for d in DIMENSIONS if d != "weasel_attribution")
     rows = evidence.with_evidence(prepared(spark, sf), Settings(disabled_dimensions=only, comment_prefix="none")).select("doc_id", "evidence")
-    rows = rows.select("doc_id", F.explode("evidence").alias("a"), "evidence").select("doc_id", "a", F.explode("evidence").alias("b"))
+    rows = rows.select("doc_id", F.explode_outer("evidence").alias("a"), "evidence").select("doc_id", "a", F.explode_outer("evidence").alias("b"))
     rows = rows.where("a.start_char < b.end_char and b.start_char < a.end_char")
     return rows.groupBy("doc_id", F.col("a.rule_id").alias("rule_id"), F.col("b.rule_id").alias("other")).agg(F.count(F.lit(1)).alias("pairs"))
 
