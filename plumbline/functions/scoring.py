@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import features
+from plumbline.functions import text as T
 from plumbline.settings import BIAS, CAVEATS, DIMENSIONS, ELEVATED, GAINS, HUMAN, LONE_WEAK, MODEL, MODEL_A, MODEL_B, MODEL_BIAS, WEAK, WEIGHTS, Settings
 
 ABSTAIN_WORDS = 100
@@ -15,12 +16,12 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def n_elevated() -> Column:
-    """How many dimensions other than the human signals stand out."""
+def n_elevated(x: Column) -> Column:
+    """How many dimensions of the struct x, other than the human signals, stand out."""
     out = F.lit(0)
     for d in DIMENSIONS:
         if d != HUMAN:
-            out = out + (F.col(d) > ELEVATED).cast("int")
+            out = out + (x[d] > ELEVATED).cast("int")
     return out
 
 
@@ -29,22 +30,33 @@ def damped(dimension: str) -> Column:
     return (F.col(dimension) > ELEVATED) & (F.col("n_elevated") == 1)
 
 
-def rules_score(settings: Settings) -> Column:
+def rules_score(x: Column, n: Column, settings: Settings) -> Column:
     z = F.lit(BIAS)
     for d, weight in WEIGHTS.items():
-        part = F.lit(weight * settings.multiplier(d)) * F.col(d)
-        z = z + (F.when(damped(d), LONE_WEAK * part).otherwise(part) if d in WEAK else part)
+        part = F.lit(weight * settings.multiplier(d)) * x[d]
+        z = z + (F.when((x[d] > ELEVATED) & (n == 1), LONE_WEAK * part).otherwise(part) if d in WEAK else part)
     return F.bround(100 * sigmoid(z * GAINS[settings.strictness]), 1)
 
 
-def model_score() -> Column:
+def model_score(x: Column) -> Column:
     """The logistic model; strictness and multipliers don't enter it."""
     z = F.lit(MODEL_BIAS)
     for d, weight in MODEL.items():
-        z = z + F.lit(weight) * F.col(d)
+        z = z + F.lit(weight) * x[d]
     return F.bround(100 * sigmoid(MODEL_A * z + MODEL_B), 1)
 
 
+def outcome(settings: Settings) -> Column:
+    """struct<n_elevated, slop_score>. The dimensions are bound once: a filter on the score that the optimizer
+    pushes below this must not hold a copy of their expressions for each use."""
+
+    def use(x: Column) -> Column:
+        value = lambda n: model_score(x) if settings.scorer == "ml" else rules_score(x, n, settings)
+        return T.let(n_elevated(x), lambda n: F.struct(n.alias("n_elevated"), value(n).alias("slop_score")))
+
+    return T.let(F.struct(*DIMENSIONS), use)
+
+
 def contributions() -> Column:
     """Map of the model's weighted dimensions."""
     return F.map_from_arrays(F.array(*map(F.lit, MODEL)), F.array(*(F.bround(w * F.col(d), 4) for d, w in MODEL.items())))
@@ -91,10 +103,10 @@ def score(docs: DataFrame, settings: Settings | None = None, text: str = "text",
     """
     settings = settings or Settings()
     out = docs if prepared else features.prepare(docs, settings, text)
-    out = features.dimensions(out, settings).withColumn("n_elevated", n_elevated())
-    out = out.withColumn("slop_score", model_score() if settings.scorer == "ml" else rules_score(settings))
+    out = features.dimensions(out, settings).withColumn("_outcome", outcome(settings))
+    out = out.withColumns({x: F.col(f"_outcome.{x}") for x in ("n_elevated", "slop_score")}).drop("_outcome")
     out = out.withColumns({"confidence": confidence(settings), "abstention_reason": abstention(settings)})
-    raw = label_of(F.col("slop_score"))
+    raw = T.let(F.col("slop_score"), label_of)
     abstained = F.col("abstention_reason").isNotNull()
     return out.withColumns(
         {
