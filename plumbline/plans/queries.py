@@ -294,9 +294,9 @@ def _html_sql() -> str:
     for regex, by in prose.HTML_STEPS:
         text = f"regexp_replace({text}, {o.q(regex)}, {o.q(by)}, 'g')"
     text = o._ENTITIES.format(text).replace("'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')", "'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')")
-    for regex, by in (("[ \t]+", " "), (" ?\n ?", "\n"), ("\n{3,}", "\n\n")):
+    for regex, by in prose.TIDY_STEPS:
         text = f"regexp_replace({text}, {o.q(regex)}, {o.q(by)}, 'g')"
-    return f"SELECT page_id, trim({text}, ' ') AS prose FROM pages"
+    return f"SELECT page_id, {text} AS prose FROM pages"
 
 
 @query("html_prose", _html_sql())

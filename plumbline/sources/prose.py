@@ -22,6 +22,8 @@ HTML_STEPS = [
     (r"(?is)<footer\b.*?</footer>", " "), (r"(?is)<aside\b.*?</aside>", " "), (r"(?is)<table\b.*?</table>", " "), (r"(?i)</(p|div|h[1-6]|li|article|section|blockquote)>|<br\s*/?>", "\n\n"), (r"(?s)<[^>]*>", ""),
 ]
 
+TIDY_STEPS = [("[ \t]+", " "), (" ?\n ?", "\n"), ("\n{3,}", "\n\n"), (r"\A\s+|\s+\z", "")]
+
 
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.[^./\\]+$", 0))
@@ -37,7 +39,9 @@ def looks_like_url(value: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), " ?\n ?", "\n"), "\n{3,}", "\n\n"))
+    for regex, by in TIDY_STEPS:
+        text = F.regexp_replace(text, regex, by)
+    return text
 
 
 def html(page: Column) -> Column:
