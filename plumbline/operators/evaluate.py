@@ -13,7 +13,9 @@ FLAGGED = 50.0
 
 
 def _valid(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("label").isNotNull() & F.col("score").isNotNull())
+    """Rows with a label. Null scores are left out by the aggregates: a filter would be pushed into the scoring
+    itself, with a copy of its expressions."""
+    return rows.where(F.col("label").isNotNull())
 
 
 def unit(rows: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def unit(rows: DataFrame) -> DataFrame:
 
 def curve(rows: DataFrame) -> DataFrame:
     """For each distinct score from the highest: true and false positives at it or above, and all of each."""
-    by = _valid(rows).groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    by = _valid(rows).groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"), F.count("score").alias("_n")).where("_n > 0")
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return by.select("score", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(everything).alias("p_all"), F.sum("neg").over(everything).alias("n_all"))
@@ -53,7 +55,7 @@ def pr_auc(rows: DataFrame) -> DataFrame:
 
 def ece(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Mean distance of confidence and accuracy over equal bins, by their share of rows."""
-    by = unit(rows).groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg("label").alias("y"))
+    by = unit(rows).groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("p").alias("n"), F.avg("p").alias("p"), F.avg("label").alias("y"))
     return by.agg(F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n"), 6).alias("ece"))
 
 
@@ -64,7 +66,7 @@ def brier(rows: DataFrame) -> DataFrame:
 def risk_coverage(rows: DataFrame, at: float = FLAGGED) -> DataFrame:
     """Accuracy with and without abstaining, and the share of rows that get an answer."""
     right = ((F.col("score") >= at).cast("int") == F.col("label")).cast("double")
-    kept = ~F.col("abstained")
+    kept = F.when(F.col("score").isNotNull(), ~F.col("abstained"))
     return _valid(rows).agg(
         F.round(F.avg(kept.cast("double")), 6).alias("coverage"),
         F.round(F.coalesce(F.avg(F.when(kept, right)), F.lit(0.0)), 6).alias("accuracy_answered"),
@@ -77,11 +79,11 @@ def subgroups(rows: DataFrame, group: str = "subgroup", at: float = FLAGGED) ->
     flag = F.col("score") >= at
     rate = lambda x, name: F.round(F.coalesce(F.avg(x), F.lit(0.0)), 6).alias(name)
     return _valid(rows).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("score").alias("n"),
         rate(F.when(F.col("label") == 0, flag.cast("double")), "fpr"),
         rate(F.when(F.col("label") == 1, (~flag).cast("double")), "fnr"),
-        rate(F.col("abstained").cast("double"), "abstention_rate"),
-    )
+        rate(F.when(F.col("score").isNotNull(), F.col("abstained").cast("double")), "abstention_rate"),
+    ).where("n > 0")
 
 
 def rule_rates(findings: DataFrame, clean: DataFrame, group: str = "subgroup", flag_over: float = 0.2) -> DataFrame:

@@ -242,7 +242,7 @@ def tpr_at_fpr(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.tpr_at_fpr(_labelled(spark, sf))
 
 
-@query("ece", f"{_eval_sql()}, b AS (SELECT count(*) AS n, avg(score / 100) AS p, avg(label) AS y FROM ev GROUP BY least(floor(score / 100 * 10), 9)) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM b")
+@query("ece", f"{_eval_sql()}, bins AS (SELECT count(*) AS n, avg(score / 100) AS p, avg(label) AS y FROM ev GROUP BY least(floor(score / 100 * 10), 9)) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM bins")
 def ece(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ece(_labelled(spark, sf))
 

@@ -16,9 +16,9 @@ def test_same_as_sql(same, name):
 
 
 def test_metrics(spark):
-    rows = [(1, 90.0, False), (0, 80.0, False), (1, 70.0, True), (1, 70.0, False), (0, 70.0, False), (0, 10.0, True), (None, 5.0, False)]
+    rows = [(1, 90.0, False), (0, 80.0, False), (1, 70.0, True), (1, 70.0, False), (0, 70.0, False), (0, 10.0, True), (None, 5.0, False), (1, None, True)]
     df = spark.createDataFrame(rows, "label int, score double, abstained boolean")
-    known = [r for r in rows if r[0] is not None]
+    known = [r for r in rows if None not in r]
     pairs = [(p, n) for y, p, _ in known if y == 1 for z, n, _ in known if z == 0]
     assert math.isclose(evaluate.auroc(df).first()[0], round(sum((p > n) + (p == n) / 2 for p, n in pairs) / len(pairs), 6))
     assert math.isclose(evaluate.brier(df).first()[0], round(sum((p / 100 - y) ** 2 for y, p, _ in known) / len(known), 6), abs_tol=1e-6)
