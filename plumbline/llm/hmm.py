@@ -5,7 +5,10 @@ line ends, and after MOST words; each is a sequence of its own, so a document's
 product. The vocabulary has the `vocabulary` most frequent words of the whole corpus that occur at
 least twice (ties by hash); any other word becomes one of UNKNOWN symbols by its length.
 
-Training is Baum-Welch: in each round every partition runs forward and backward over its sentences and adds up
+Training is Baum-Welch until it converges. States begin apart, by hash; a sample is trained first, where rounds are
+cheap, and tells each state's share of a word. Rounds over all documents follow until the log-likelihood of them all gains
+less than TOLERANCE of itself and the gains don't grow: while states are still alike gains are small, but they grow.
+In each round every partition runs forward and backward over its sentences and adds up
 expected starts, transitions and emissions; the sums over all partitions, taken by Spark, make the next model.
 Its size depends on the states and the vocabulary, not on the corpus. Scoring is the scaled forward recursion,
 whose scales' logarithms add up to the exact log-likelihood. Sentences of a block advance together, word by word.
@@ -25,9 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_table, joined, lists, mix, shared_dir, table, word_hashes
+from .common import blocks, byte_table, joined, lists, mix, release, shared_dir, table, word_hashes
 
-STATES, ROUNDS, VOCABULARY, MOST, UNKNOWN = 8, 3, 32_768, 128, 16
+STATES, VOCABULARY, MOST, UNKNOWN = 8, 32_768, 128, 16
+#: Training ends when a round's relative gain in log-likelihood is under TOLERANCE and no more than that of the round before.
+TOLERANCE = 1e-4
+#: Words, about, on which the first states are trained until they differ.
+SAMPLE = 1_000_000
 #: Added to every expected count.
 SMOOTH = 0.01
 SCHEMA = "doc_id bigint, n_words bigint, log_likelihood double, perplexity double"
@@ -43,12 +50,12 @@ class Model:
 
     @classmethod
     def first(cls, words: np.ndarray, counts: np.ndarray, states: int = STATES) -> Model:
-        """States that differ a little, by hash, from the words' frequencies."""
+        """States that differ much, by hash, from the words' frequencies."""
         rng = np.random.default_rng(7)
         share = (counts + SMOOTH) / (counts + SMOOTH).sum()
         names = np.r_[np.arange(UNKNOWN, dtype=np.uint64), words]
         noise = np.column_stack([(mix(names + np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(40)).astype(np.float64) / (1 << 24) for k in range(states)])
-        emit = share[:, None] * (0.25 + noise)
+        emit = share[:, None] * (0.05 - np.log(noise + 2**-24)) ** 3
         move = 1 + rng.random((states, states))
         return cls(words, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
@@ -113,9 +120,10 @@ class Lanes:
             before = now
         return e, alpha, scale
 
-    def expected(self, m: Model, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions; single precision within a sentence, double in the sums."""
+    def expected(self, m: Model, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected starts, moves and emissions, and the log-likelihood; single precision within a sentence, double in the sums."""
         e, gamma, scale = self.forward(m, np.float32)
+        log = float(np.log(scale).sum(dtype=np.float64))
         k = len(m.start)
         move = m.move.astype(np.float32)
         moves, back = np.zeros((k, k)), None
@@ -135,7 +143,7 @@ class Lanes:
             gamma[: self.alive[0]] *= back
         emit = np.column_stack([np.bincount(self.symbol, gamma[:, j], minlength=size) for j in range(k)])
         starts = gamma[: self.alive[0]].sum(axis=0, dtype=np.float64) if len(self.alive) else np.zeros(k)
-        return starts, moves * m.move, emit
+        return starts, moves * m.move, emit, log
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
@@ -193,42 +201,81 @@ def _lanes(batches, most: int = 600_000):
             i = j
 
 
-def train(symbols_of: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """The model after these rounds of Baum-Welch over encoded documents."""
-    for _ in range(rounds):
-        model = round_of(symbols_of, model)
+def converged(logs: list[float], tolerance: float = TOLERANCE) -> bool:
+    """Whether the last of these rounds' log-likelihoods gained little, and no more than the round before."""
+    if len(logs) < 3:
+        return False
+    before, gain = logs[-2] - logs[-3], logs[-1] - logs[-2]
+    return gain <= tolerance * abs(logs[-1]) and gain <= before
+
+
+def sampled(symbols_of: DataFrame, model: Model, counts: np.ndarray, words: int = SAMPLE) -> Model:
+    """A model whose states differ: words' counts, shared out among states as a converged model of a sample of documents does."""
+    size, k = len(counts), len(model.start)
+    every = max(1, round(float(counts.sum()) / words))
+    some = symbols_of.where(F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(every)) == 0).select("symbols").toArrow().column(0).combine_chunks()
+    s = some.values.to_numpy()
+    if not len(s):
+        return model
+    names, own = np.unique(np.where(s < 0, -1 - s, s), return_inverse=True)
+    lanes, m, logs = Lanes(own, s < 0), Model(model.words, model.start, model.move, model.emit[names] / model.emit[names].sum(axis=0)), []
+    while not converged(logs):
+        *sums, log = lanes.expected(m, len(names))
+        logs.append(log)
+        last, m = m, m.next(*sums)
+    emit = model.emit / model.emit.sum(axis=1, keepdims=True)
+    emit[names] = (sums[2] + SMOOTH) / (sums[2] + SMOOTH).sum(axis=1, keepdims=True)
+    emit *= counts[:, None]
+    return Model(model.words, last.start, last.move, emit / emit.sum(axis=0))
+
+
+def train(symbols_of: DataFrame, model: Model, rounds: int | None = None) -> Model:
+    """The model after these rounds of Baum-Welch over encoded documents, or, without a number, when it has converged."""
+    logs: list[float] = []
+    while not converged(logs) if rounds is None else len(logs) < rounds:
+        model, log = step(symbols_of, model)
+        logs.append(log)
+        release(symbols_of.sparkSession)
     return model
 
 
 def round_of(symbols_of: DataFrame, model: Model) -> Model:
     """The next model: expected counts of all partitions, added up."""
+    return step(symbols_of, model)[0]
+
+
+def step(symbols_of: DataFrame, model: Model) -> tuple[Model, float]:
+    """The next model, and this one's log-likelihood."""
     sent, size, k = symbols_of.sparkSession.sparkContext.broadcast(model), len(model.words) + UNKNOWN, len(model.start)
     names = [f"k{j}" for j in range(k)]
 
     def run(batches):
         m = sent.value
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
         for _, _, lanes in _lanes(batches):
-            s, t, e = lanes.expected(m, size)
+            s, t, e, more = lanes.expected(m, size)
+            log += more
             start += s
             move += t
             emit += e
         some = np.flatnonzero(emit.any(axis=1))
         if len(some):
-            # symbols as they are; -1 the starts; -2 and down the moves from each state
-            ids = np.r_[some, -1, -2 - np.arange(k)]
-            rows = np.vstack([emit[some], start, move])
+            # symbols as they are; -1 the starts; -2 and down the moves from each state; last the log-likelihood, k times
+            ids = np.r_[some, -1, -2 - np.arange(k + 1)]
+            rows = np.vstack([emit[some], start, move, np.full(k, log)])
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(k)]], ["id", *names])
 
     sums = symbols_of.mapInArrow(run, "id bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     if not sums.num_rows:
-        return model
+        return model, 0.0
     ids, rows = sums.column("id").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names])
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
     emit[ids[ids >= 0]] = rows[ids >= 0]
     start[:] = rows[ids == -1][0]
-    move[-2 - ids[ids < -1]] = rows[ids < -1]
-    return model.next(start, move, emit)
+    log = float(rows[ids == -2 - k][0, 0])
+    moves = (ids < -1) & (ids > -2 - k)
+    move[-2 - ids[moves]] = rows[moves]
+    return model.next(start, move, emit), log
 
 
 def score(symbols_of: DataFrame, model: Model) -> DataFrame:
@@ -252,4 +299,4 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/symbols-{uuid.uuid4().hex}"
     encoded(docs, words).write.parquet(path)
     rows = spark.read.parquet(path)
-    return score(rows, train(rows, Model.first(words, counts)))
+    return score(rows, train(rows, sampled(rows, Model.first(words, counts), counts)))

@@ -73,6 +73,25 @@ def test_hmm_rounds_raise_the_likelihood(spark):
     assert sorted(counts[hmm.UNKNOWN :].tolist(), reverse=True) == top
 
 
+def test_hmm_trains_until_more_rounds_gain_little(spark):
+    docs = table(spark, SMALL, "documents")
+    words, counts = hmm.vocabulary(docs)
+    e = hmm.encoded(docs, words).cache()
+    log = lambda m: hmm.score(e, m).selectExpr("sum(log_likelihood)").first()[0]
+    first = hmm.Model.first(words, counts)
+    model = hmm.train(e, hmm.sampled(e, first, counts))
+    end, n = log(model), e.selectExpr("sum(size(symbols))").first()[0]
+    share = counts / counts.sum()
+    table_ = hmm.Model(words, np.ones(1), np.ones((1, 1)), share[:, None])
+    assert (end - log(table_)) / n > 0.3  # far from a table of words' frequencies
+    assert log(hmm.round_of(e, model)) - end <= 2 * hmm.TOLERANCE * abs(end)
+
+
+def test_hmm_small_gains_that_grow_are_no_end():
+    assert not hmm.converged([-1000.0, -999.99, -999.97]) and hmm.converged([-1000.0, -999.97, -999.96])
+    assert not hmm.converged([-1000.0, -900.0, -890.0]) and not hmm.converged([-1000.0, -1000.0])
+
+
 def test_bpe_is_the_tokenizers_own():
     from tokenizers import Tokenizer
 
