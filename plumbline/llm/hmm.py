@@ -2,15 +2,16 @@
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text. Sentences end at . ! ? and
 line ends, and after MOST words; each is a sequence of its own, so a document's likelihood is its sentences'
-product. The vocabulary has the `vocabulary` most frequent words of the whole corpus that occur at
-least twice (ties by hash); any other word becomes one of UNKNOWN symbols by its length.
+product. The vocabulary has every word that occurs at least twice in the whole corpus; any other word becomes one of
+UNKNOWN symbols by its length. Words, their counts and their emissions are tables in the shared folder, in BUCKETS files by
+the hash's first bits, of which a task reads what its own words need; neither driver nor broadcast holds them.
 
 Training is Baum-Welch until it converges. States begin apart, by hash; a sample is trained first, where rounds are
 cheap, and tells each state's share of a word. Rounds over all documents follow until the log-likelihood of them all gains
 less than TOLERANCE of itself and the gains don't grow: while states are still alike gains are small, but they grow.
 In each round every partition runs forward and backward over its sentences and adds up
 expected starts, transitions and emissions; the sums over all partitions, taken by Spark, make the next model.
-Its size depends on the states and the vocabulary, not on the corpus. Scoring is the scaled forward recursion,
+Its size grows with the corpus's vocabulary. Scoring is the scaled forward recursion,
 whose scales' logarithms add up to the exact log-likelihood. Sentences of a block advance together, word by word.
 
 A null or empty text has n_words 0, log_likelihood 0 and a null perplexity, as one without words. Repeated
@@ -19,18 +20,23 @@ rows count as often as they are there. A corpus without words gives a uniform mo
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, byte_table, joined, lists, mix, release, shared_dir, table, word_hashes
 
-STATES, VOCABULARY, MOST, UNKNOWN = 8, 32_768, 128, 16
+STATES, MOST, UNKNOWN = 8, 128, 16
+BITS = 6
+BUCKETS = 1 << BITS
 #: Training ends when a round's relative gain in log-likelihood is under TOLERANCE and no more than that of the round before.
 TOLERANCE = 1e-4
 #: Words, about, on which the first states are trained until they differ.
@@ -53,17 +59,96 @@ class Model:
         """States that differ much, by hash, from the words' frequencies."""
         rng = np.random.default_rng(7)
         share = (counts + SMOOTH) / (counts + SMOOTH).sum()
-        names = np.r_[np.arange(UNKNOWN, dtype=np.uint64), words]
-        noise = np.column_stack([(mix(names + np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(40)).astype(np.float64) / (1 << 24) for k in range(states)])
-        emit = share[:, None] * (0.05 - np.log(noise + 2**-24)) ** 3
+        emit = share[:, None] * _noise(np.r_[np.arange(UNKNOWN, dtype=np.uint64), words], states)
         move = 1 + rng.random((states, states))
         return cls(words, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
+    def local(self, names: np.ndarray) -> Model:
+        return Model(self.words, self.start, self.move, self.emit[names])
+
     def next(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
         up = lambda x, axis: (x + SMOOTH) / (x + SMOOTH).sum(axis=axis, keepdims=True)
         return Model(self.words, up(start, 0), up(move, 1), up(emit, 0))
 
 
+def _noise(names: np.ndarray, states: int) -> np.ndarray:
+    """Positive numbers far apart, by hash: names x states."""
+    u = np.column_stack([(mix(names + np.uint64((k + 1) * 0xD1B54A32D192ED03 % (1 << 64))) >> np.uint64(40)).astype(np.float64) / (1 << 24) for k in range(states)])
+    return (0.05 - np.log(u + 2**-24)) ** 3
+
+
+def _files(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "/", uri))
+
+
+def _read(uri: str, kind: type) -> np.ndarray:
+    """A file's numbers; a local file is mapped, so that only the pages in use are read."""
+    system, path = _files(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(path, kind, "r")
+    with system.open_input_file(path) as f:
+        return np.frombuffer(f.read(), kind)
+
+
+def _write(uri: str, values: np.ndarray) -> None:
+    """Whole or not at all, so that a task may run twice."""
+    system, path = _files(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as f:
+        f.write(np.ascontiguousarray(values).data)
+    system.move(part, path)
+
+
+@dataclass
+class Vocabulary:
+    """Tables of words and counts in the folder: bucket b has the symbols from offsets[b] on, UNKNOWN ones first."""
+
+    folder: str
+    offsets: np.ndarray
+    total: float  # of the counts
+
+    def rows(self, names: np.ndarray, table_: str, kind: type, width: int = 1) -> np.ndarray:
+        """The table's rows for these symbols, which are in order."""
+        out = np.empty((len(names), width), kind)
+        cut = np.searchsorted(names, self.offsets)
+        for b in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[b], cut[b + 1])
+            out[own] = _read(f"{self.folder}/{table_}/{b}", kind).reshape(-1, width)[names[own] - self.offsets[b]]
+        return out
+
+    def symbols(self, h: np.ndarray, length: np.ndarray) -> np.ndarray:
+        names, own = np.unique(h, return_inverse=True)
+        found = np.full(len(names), -1)
+        cut = np.r_[np.searchsorted(names >> np.uint64(64 - BITS), np.arange(BUCKETS)), len(names)]
+        for b in np.flatnonzero(np.diff(cut)):
+            if self.offsets[b + 1] > self.offsets[b]:
+                words, part = _read(f"{self.folder}/words/{b}", np.uint64), names[cut[b] : cut[b + 1]]
+                at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+                found[cut[b] : cut[b + 1]] = np.where(words[at] == part, at + self.offsets[b], -1)
+        return np.where(found[own] >= 0, found[own], np.minimum(length, UNKNOWN) - 1)
+
+
+@dataclass
+class Kept:
+    """A model whose emissions are a table of expected counts in the folder."""
+
+    words: Vocabulary
+    start: np.ndarray
+    move: np.ndarray
+    table: str
+    sums: np.ndarray  # of the table, by state
+
+    def local(self, names: np.ndarray) -> Model:
+        k = len(self.start)
+        rows = self.words.rows(names, self.table, np.float64, k)
+        return Model(names, self.start, self.move, (rows + SMOOTH) / (self.sums + SMOOTH * self.words.offsets[-1]))
+
+    def drop(self) -> None:
+        system, path = _files(f"{self.words.folder}/{self.table}")
+        system.delete_dir(path)
+
+
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each word's hash, length in bytes and text, and whether it begins a sentence."""
     buf, starts = joined(pc.utf8_lower(text))
@@ -146,14 +231,14 @@ class Lanes:
         return starts, moves * m.move, emit, log
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes in order, and the counts of all symbols."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """Each word that occurs at least twice, and how often."""
 
     def run(batches):
         waiting, most = [], 0
         for _, text in blocks(batches):
-            h, length, _, _ = tokens(text)
-            waiting.append(np.column_stack([h, np.minimum(length, UNKNOWN).astype(np.uint64)]))
+            h = tokens(text)[0]
+            waiting.append(h)
             most += len(h)
             if most > 2_000_000:
                 yield counted(waiting)
@@ -162,27 +247,69 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.
             yield counted(waiting)
 
     def counted(waiting):
-        every = np.concatenate(waiting)
-        word, first, n = np.unique(every[:, 0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(every[first, 1].astype(np.int32)), pa.array(n)], ["word", "length", "n"])
+        word, n = np.unique(np.concatenate(waiting), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
     docs = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    words = docs.mapInArrow(run, "word bigint, length int, n bigint").groupBy("word", "length").agg(F.sum("n").alias("n"))
-    top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(size).toArrow()
+    words = docs.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.where("n > 1")
+
+
+def vocabulary(docs: DataFrame, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes in order, and the counts of all symbols, in memory; of the most frequent words only, if size is given."""
+    words = _counted(docs)
+    top = (words.orderBy(F.desc("n"), "word").limit(size) if size else words).toArrow()
     word = top.column("word").to_numpy().view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(word)
     counts = top.column("n").to_numpy()[order] if top.num_rows else np.zeros(0)
-    return word[order], np.r_[np.full(UNKNOWN, max(1.0, counts.mean() if len(counts) else 1.0)), counts].astype(np.float64)
+    return word[order], np.r_[_unknown(counts), counts].astype(np.float64)
+
+
+def _unknown(counts: np.ndarray) -> np.ndarray:
+    return np.full(UNKNOWN, max(1.0, counts.mean() if len(counts) else 1.0))
+
 
+def kept_vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
+    """The vocabulary as tables in the folder."""
 
-def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    def run(batches):
+        found = defaultdict(list)
+        for batch in batches:
+            word, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            bucket = word >> np.uint64(64 - BITS)
+            for b in np.unique(bucket).tolist():
+                found[b].append((word[bucket == b], n[bucket == b]))
+        for b, parts in found.items():
+            word, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(word)
+            word, n = word[order], n[order].astype(np.float64)
+            if b == 0:  # real hashes are above these names
+                word, n = np.r_[np.arange(UNKNOWN, dtype=np.uint64), word], np.r_[_unknown(n), n]
+            _write(f"{folder}/words/{b}", word)
+            _write(f"{folder}/counts/{b}", n)
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([len(word)]), pa.array([n.sum()])], ["bucket", "size", "total"])
+
+    words = _counted(docs).withColumn("bucket", F.shiftrightunsigned("word", 64 - BITS))
+    rows = words.repartition(BUCKETS, "bucket").select("word", "n").mapInArrow(run, "bucket long, size long, total double").collect()
+    sizes = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        sizes[r["bucket"]] = r["size"]
+    if not sizes[0]:
+        sizes[0] = UNKNOWN
+        _write(f"{folder}/words/0", np.arange(UNKNOWN, dtype=np.uint64))
+        _write(f"{folder}/counts/0", np.ones(UNKNOWN))
+    return Vocabulary(folder, np.r_[0, np.cumsum(sizes)], sum(r["total"] for r in rows))
+
+
+def encoded(docs: DataFrame, words: np.ndarray | Vocabulary) -> DataFrame:
     """docs (doc_id, text) as symbols, in order; those that begin a sentence are negative (-1 - symbol)."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         for part, text in blocks(batches):
             h, length, owner, fresh = tokens(text)
-            s = symbols(sent.value, h, length).astype(np.int32)
+            known = sent.value
+            s = (known.symbols(h, length) if isinstance(known, Vocabulary) else symbols(known, h, length)).astype(np.int32)
             counts = np.bincount(owner, minlength=len(text))
             yield pa.RecordBatch.from_arrays([part.column(0), lists(np.where(fresh, -1 - s, s), counts, pa.int32())], ["doc_id", "symbols"])
 
@@ -190,14 +317,15 @@ def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def _lanes(batches, most: int = 600_000):
-    """ids, each one's number of symbols, and the lanes, of so many symbols at a time (or of one row)."""
+    """ids, each one's number of symbols, the symbols there are, in order, and the lanes of their places; so many at a time (or one row)."""
     for batch in batches:
         lens = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, i = np.cumsum(lens), 0
         while i < len(lens):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
             s = batch.column(1).slice(i, j - i).flatten().to_numpy()
-            yield batch.column(0).slice(i, j - i), lens[i:j], Lanes(np.where(s < 0, -1 - s, s), s < 0)
+            names, own = np.unique(np.where(s < 0, -1 - s, s), return_inverse=True)
+            yield batch.column(0).slice(i, j - i), lens[i:j], names, Lanes(own, s < 0)
             i = j
 
 
@@ -209,82 +337,153 @@ def converged(logs: list[float], tolerance: float = TOLERANCE) -> bool:
     return gain <= tolerance * abs(logs[-1]) and gain <= before
 
 
-def sampled(symbols_of: DataFrame, model: Model, counts: np.ndarray, words: int = SAMPLE) -> Model:
+def sampled(symbols_of: DataFrame, words: Vocabulary, states: int = STATES, most: int = SAMPLE) -> Kept:
     """A model whose states differ: words' counts, shared out among states as a converged model of a sample of documents does."""
-    size, k = len(counts), len(model.start)
-    every = max(1, round(float(counts.sum()) / words))
-    some = symbols_of.where(F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(every)) == 0).select("symbols").toArrow().column(0).combine_chunks()
-    s = some.values.to_numpy()
-    if not len(s):
-        return model
+    spark = symbols_of.sparkSession
+    every = max(1, round(words.total / most))
+    some = symbols_of.where(F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(every)) == 0).select("symbols").toArrow().column(0)
+    s = np.concatenate([np.zeros(0, np.int32), *[c.values.to_numpy() for c in some.chunks if len(c)]])
     names, own = np.unique(np.where(s < 0, -1 - s, s), return_inverse=True)
-    lanes, m, logs = Lanes(own, s < 0), Model(model.words, model.start, model.move, model.emit[names] / model.emit[names].sum(axis=0)), []
-    while not converged(logs):
-        *sums, log = lanes.expected(m, len(names))
-        logs.append(log)
-        last, m = m, m.next(*sums)
-    emit = model.emit / model.emit.sum(axis=1, keepdims=True)
-    emit[names] = (sums[2] + SMOOTH) / (sums[2] + SMOOTH).sum(axis=1, keepdims=True)
-    emit *= counts[:, None]
-    return Model(model.words, last.start, last.move, emit / emit.sum(axis=0))
-
+    lanes = Lanes(own, s < 0)
+    counts = words.rows(names, "counts", np.float64)[:, 0]
+    emit = counts[:, None] * _noise(words.rows(names, "words", np.uint64)[:, 0], states)
+    m, logs = Model.first(np.zeros(0, np.uint64), np.ones(UNKNOWN), states), []
+    last, share = m, np.zeros((0, states))
+    if len(names):
+        m = Model(names, m.start, m.move, emit / emit.sum(axis=0))
+        while not converged(logs):
+            *sums, log = lanes.expected(m, len(names))
+            logs.append(log)
+            last, m = m, m.next(*sums)
+        share = (sums[2] + SMOOTH) / (sums[2] + SMOOTH).sum(axis=1, keepdims=True)
+    sent, table_ = spark.sparkContext.broadcast((names, share)), uuid.uuid4().hex
 
-def train(symbols_of: DataFrame, model: Model, rounds: int | None = None) -> Model:
+    def run(batches):
+        known, shares = sent.value
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                lo, hi = words.offsets[b : b + 2]
+                if lo == hi:
+                    continue
+                each = _noise(_read(f"{words.folder}/words/{b}", np.uint64), states)
+                each /= each.sum(axis=1, keepdims=True)
+                i, j = np.searchsorted(known, [lo, hi])
+                each[known[i:j] - lo] = shares[i:j]
+                each *= _read(f"{words.folder}/counts/{b}", np.float64)[:, None]
+                _write(f"{words.folder}/{table_}/{b}", each)
+                yield pa.RecordBatch.from_arrays([pa.array([each.sum(axis=0).tolist()])], ["sums"])
+
+    rows = spark.range(0, BUCKETS, 1, 8).mapInArrow(run, "sums array<double>").collect()
+    return Kept(words, last.start, last.move, table_, np.sum([r["sums"] for r in rows], axis=0))
+
+
+def train(symbols_of: DataFrame, model: Model | Kept, rounds: int | None = None) -> Model | Kept:
     """The model after these rounds of Baum-Welch over encoded documents, or, without a number, when it has converged."""
     logs: list[float] = []
     while not converged(logs) if rounds is None else len(logs) < rounds:
+        before = model
         model, log = step(symbols_of, model)
         logs.append(log)
+        if isinstance(before, Kept) and model is not before:
+            before.drop()
         release(symbols_of.sparkSession)
     return model
 
 
-def round_of(symbols_of: DataFrame, model: Model) -> Model:
+def round_of(symbols_of: DataFrame, model: Model | Kept) -> Model | Kept:
     """The next model: expected counts of all partitions, added up."""
     return step(symbols_of, model)[0]
 
 
-def step(symbols_of: DataFrame, model: Model) -> tuple[Model, float]:
+def _added(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids there are, and the sums of their rows."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    return ids[order][first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def step(symbols_of: DataFrame, model: Model | Kept) -> tuple[Model | Kept, float]:
     """The next model, and this one's log-likelihood."""
-    sent, size, k = symbols_of.sparkSession.sparkContext.broadcast(model), len(model.words) + UNKNOWN, len(model.start)
-    names = [f"k{j}" for j in range(k)]
+    spark, k = symbols_of.sparkSession, len(model.start)
+    sent = spark.sparkContext.broadcast(model)
+    offsets = model.words.offsets if isinstance(model, Kept) else np.r_[0, len(model.emit)]
+    columns = [f"k{j}" for j in range(k)]
+
+    def batch_of(ids, rows):
+        bucket = np.where(ids < 0, -1, np.searchsorted(offsets, ids, side="right") - 1)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(k)]], ["bucket", "id", *columns])
 
     def run(batches):
-        m = sent.value
-        start, move, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
-        for _, _, lanes in _lanes(batches):
-            s, t, e, more = lanes.expected(m, size)
-            log += more
-            start += s
-            move += t
-            emit += e
-        some = np.flatnonzero(emit.any(axis=1))
-        if len(some):
+        waiting, most = [], 0
+        for _, _, names, lanes in _lanes(batches):
+            if not len(names):
+                continue
+            start, move, emit, log = lanes.expected(sent.value.local(names), len(names))
             # symbols as they are; -1 the starts; -2 and down the moves from each state; last the log-likelihood, k times
-            ids = np.r_[some, -1, -2 - np.arange(k + 1)]
-            rows = np.vstack([emit[some], start, move, np.full(k, log)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(k)]], ["id", *names])
-
-    sums = symbols_of.mapInArrow(run, "id bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+            waiting.append((np.r_[names, -1, -2 - np.arange(k + 1)], np.vstack([emit, start, move, np.full(k, log)])))
+            most += len(names)
+            if most > 500_000:
+                waiting = [_added(*(np.concatenate(x) for x in zip(*waiting)))]
+                most = len(waiting[0][0])
+                if most > 250_000:
+                    yield batch_of(*waiting[0])
+                    waiting, most = [], 0
+        if waiting:
+            yield batch_of(*_added(*(np.concatenate(x) for x in zip(*waiting))))
+
+    parts = symbols_of.mapInArrow(run, "bucket long, id bigint, " + ", ".join(f"{n} double" for n in columns))
+    table_ = uuid.uuid4().hex
+    if isinstance(model, Kept):
+        folder = model.words.folder
+
+        def keep(batches):
+            tables, few = {}, []
+            for batch in batches:
+                bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                rows = np.column_stack([batch.column(2 + j).to_numpy() for j in range(k)])
+                for b in np.unique(bucket).tolist():
+                    own = bucket == b
+                    names, sums = _added(ids[own], rows[own])
+                    if b < 0:
+                        few.append((names, sums))
+                        continue
+                    if b not in tables:
+                        tables[b] = np.zeros((offsets[b + 1] - offsets[b], k))
+                    tables[b][names - offsets[b]] += sums
+            for b, values in tables.items():
+                _write(f"{folder}/{table_}/{b}", values)
+                few.append((np.array([-3 - k]), values.sum(axis=0)[None]))  # the table's sums
+            if few:
+                yield batch_of(*_added(*(np.concatenate(x) for x in zip(*few))))
+
+        parts = parts.repartition(BUCKETS, "bucket").mapInArrow(keep, parts.schema)
+    sums = parts.groupBy("id").agg(*[F.sum(n).alias(n) for n in columns]).toArrow()
     if not sums.num_rows:
         return model, 0.0
-    ids, rows = sums.column("id").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names])
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
-    emit[ids[ids >= 0]] = rows[ids >= 0]
-    start[:] = rows[ids == -1][0]
-    log = float(rows[ids == -2 - k][0, 0])
+    ids, rows = sums.column("id").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in columns])
+    start, move = rows[ids == -1][0], np.zeros((k, k))
     moves = (ids < -1) & (ids > -2 - k)
     move[-2 - ids[moves]] = rows[moves]
+    log = float(rows[ids == -2 - k][0, 0])
+    up = lambda x: (x + SMOOTH) / (x + SMOOTH).sum(axis=-1, keepdims=True)
+    if isinstance(model, Kept):
+        for b in np.flatnonzero(np.diff(offsets)):
+            system, path = _files(f"{folder}/{table_}/{b}")
+            if system.get_file_info(path).type == fs.FileType.NotFound:  # none of its symbols was met
+                _write(f"{folder}/{table_}/{b}", np.zeros((offsets[b + 1] - offsets[b], k)))
+        return Kept(model.words, up(start), up(move), table_, rows[ids == -3 - k][0]), log
+    emit = np.zeros((len(model.emit), k))
+    emit[ids[ids >= 0]] = rows[ids >= 0]
     return model.next(start, move, emit), log
 
 
-def score(symbols_of: DataFrame, model: Model) -> DataFrame:
+def score(symbols_of: DataFrame, model: Model | Kept) -> DataFrame:
     """A row for each encoded document: words, log-likelihood and perplexity."""
     sent = symbols_of.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for ids, lens, lanes in _lanes(batches):
-            logs = np.log(lanes.forward(sent.value)[2])[lanes.where]
+        for ids, lens, names, lanes in _lanes(batches):
+            logs = np.log(lanes.forward(sent.value.local(names))[2])[lanes.where]
             total = np.bincount(np.repeat(np.arange(len(lens)), lens), logs, minlength=len(lens))
             each = pa.array(np.exp(np.minimum(700, -total / np.maximum(lens, 1))), mask=lens == 0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(lens), pa.array(total), each], ["doc_id", "n_words", "log_likelihood", "perplexity"])
@@ -295,8 +494,8 @@ def score(symbols_of: DataFrame, model: Model) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on all documents, and their scores; the encoded documents are kept in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    words, counts = vocabulary(docs)
-    path = f"{shared_dir(spark).rstrip('/')}/symbols-{uuid.uuid4().hex}"
-    encoded(docs, words).write.parquet(path)
-    rows = spark.read.parquet(path)
-    return score(rows, train(rows, sampled(rows, Model.first(words, counts), counts)))
+    path = f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    words = kept_vocabulary(docs, path)
+    encoded(docs, words).write.parquet(f"{path}/symbols")
+    rows = spark.read.parquet(f"{path}/symbols")
+    return score(rows, train(rows, sampled(rows, words)))

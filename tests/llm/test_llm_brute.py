@@ -73,20 +73,38 @@ def test_hmm_rounds_raise_the_likelihood(spark):
     assert sorted(counts[hmm.UNKNOWN :].tolist(), reverse=True) == top
 
 
-def test_hmm_trains_until_more_rounds_gain_little(spark):
+def test_hmm_trains_until_more_rounds_gain_little(spark, tmp_path):
     docs = table(spark, SMALL, "documents")
-    words, counts = hmm.vocabulary(docs)
+    words = hmm.kept_vocabulary(docs, f"file://{tmp_path}")
     e = hmm.encoded(docs, words).cache()
     log = lambda m: hmm.score(e, m).selectExpr("sum(log_likelihood)").first()[0]
-    first = hmm.Model.first(words, counts)
-    model = hmm.train(e, hmm.sampled(e, first, counts))
+    model = hmm.train(e, hmm.sampled(e, words))
     end, n = log(model), e.selectExpr("sum(size(symbols))").first()[0]
-    share = counts / counts.sum()
-    table_ = hmm.Model(words, np.ones(1), np.ones((1, 1)), share[:, None])
+    counts = words.rows(np.arange(words.offsets[-1]), "counts", np.float64)
+    table_ = hmm.Model(np.zeros(0), np.ones(1), np.ones((1, 1)), counts / counts.sum())
     assert (end - log(table_)) / n > 0.3  # far from a table of words' frequencies
     assert log(hmm.round_of(e, model)) - end <= 2 * hmm.TOLERANCE * abs(end)
 
 
+def test_hmm_keeps_every_word_that_occurs_twice(spark, tmp_path):
+    twice = [f"w{i}" for i in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(twice)), (2, " ".join(twice[::-1])), (3, "once w7 w39999")], "doc_id long, text string")
+    words = hmm.kept_vocabulary(docs, f"file://{tmp_path}")
+    assert words.offsets[-1] == 40_000 + hmm.UNKNOWN
+    e = {r["doc_id"]: [-1 - s if s < 0 else s for s in r["symbols"]] for r in hmm.encoded(docs, words).collect()}
+    assert e[1] == e[2][::-1] and len(set(e[1])) == 40_000 and min(e[1]) >= hmm.UNKNOWN
+    assert e[3] == [3, e[1][7], e[1][39_999]]
+
+
+def test_hmm_tables_give_the_next_model_of_arrays(spark, tmp_path):
+    docs = table(spark, SMALL, "documents")
+    words = hmm.kept_vocabulary(docs, f"file://{tmp_path}")
+    e = hmm.encoded(docs, words).cache()
+    kept, every = hmm.sampled(e, words, 3, 5000), np.arange(words.offsets[-1])
+    (a, x), (b, y) = hmm.step(e, kept), hmm.step(e, kept.local(every))
+    assert np.allclose(a.start, b.start) and np.allclose(a.move, b.move) and np.allclose(a.local(every).emit, b.emit, rtol=1e-5) and np.isclose(x, y)
+
+
 def test_hmm_small_gains_that_grow_are_no_end():
     assert not hmm.converged([-1000.0, -999.99, -999.97]) and hmm.converged([-1000.0, -999.97, -999.96])
     assert not hmm.converged([-1000.0, -900.0, -890.0]) and not hmm.converged([-1000.0, -1000.0])
