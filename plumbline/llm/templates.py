@@ -90,6 +90,7 @@ class Reader:
         at, to, roles, after = [], [], [], []
         for p in range(len(html)):
             stack: list[tuple[bytes, int]] = [(b"", 1)]
+            depth: dict[bytes, int] = {}  # how many elements of a name are open
             at.append(starts[p])  # an empty tag, that words at the page's start have their path
             to.append(starts[p])
             roles.append(0)
@@ -100,10 +101,12 @@ class Reader:
                 if name is not None:
                     if not closes:
                         stack.append((name, self.path(above, name)))
-                    elif any(n == name for n, _ in stack[-32:]):
+                        depth[name] = depth.get(name, 0) + 1
+                    elif depth.get(name):
                         while stack[-1][0] != name:
-                            stack.pop()
+                            depth[stack.pop()[0]] -= 1
                         stack.pop()
+                        depth[name] -= 1
                         above = stack[-1][1]
                 at.append(m.start())
                 to.append(m.end())

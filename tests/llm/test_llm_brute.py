@@ -110,6 +110,12 @@ def test_hmm_small_gains_that_grow_are_no_end():
     assert not hmm.converged([-1000.0, -900.0, -890.0]) and not hmm.converged([-1000.0, -1000.0])
 
 
+def test_closing_tags_are_found_at_any_depth():
+    page = lambda n: "<body><article>" + "<p>x" * n + "</article><footer>end</footer></body>"
+    roles = [templates.Reader().tokens(pa.array([page(n)]))[2][-5:].tolist() for n in (2, 31, 32, 400)]
+    assert all(r == roles[0] for r in roles)
+
+
 def test_bpe_is_the_tokenizers_own():
     from tokenizers import Tokenizer
 
