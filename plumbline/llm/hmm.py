@@ -193,14 +193,16 @@ class Lanes:
         e = m.emit.astype(kind)[self.symbol]
         alpha, scale = np.empty_like(e), np.empty(len(e), kind)
         before = None
+        # a matrix product's rounding depends on a row's neighbours; scores of equal texts must be equal
+        product = np.matmul if kind is np.float32 else lambda a, b, out: np.einsum("ij,jk->ik" if b.ndim == 2 else "ij,j->i", a, b, out=out)
         for t, n in enumerate(self.alive):
             now, here = alpha[self.at[t] : self.at[t + 1]], slice(self.at[t], self.at[t + 1])
             if before is None:
                 np.multiply(e[here], m.start.astype(kind), out=now)
             else:
-                np.matmul(before[:n], move, out=now)
+                product(before[:n], move, out=now)
                 now *= e[here]
-            np.matmul(now, one, out=scale[here])
+            product(now, one, out=scale[here])
             now /= scale[here, None]
             before = now
         return e, alpha, scale
