@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Byte that UTF-8 never holds; it stands after each text of a block.
 END = 0xFF
+#: Of an Arrow batch, and of the texts that are taken apart at a time: numpy needs some 100 bytes for each.
+BATCH_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 1 << 64)
 
@@ -22,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of its session hold BATCH_BYTES at most from now on, or one row, unless another bound than Spark's own is set."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach, from spark.checkpoint.dir.
 
@@ -46,18 +56,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def without(docs: DataFrame, gone: DataFrame, most: int = 5_000_000) -> DataFrame:
-    """docs without the rows whose doc_id is in gone (one column of distinct bigints); rows with a null doc_id stay.
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", most: int = 5_000_000) -> DataFrame:
+    """docs without the rows whose key is in gone (one column of distinct bigints); rows with a null key stay.
 
     gone is broadcast if it has at most so many rows (8 bytes each); else both sides are shuffled.
     """
     gone = checkpoint(gone.toDF("_gone"))
     if gone.count() <= most:
         gone = F.broadcast(gone)
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g._gone"), "left_anti")
+    return docs.alias("d").join(gone.alias("g"), F.col(f"d.{key}") == F.col("g._gone"), "left_anti")
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches whose text is max_bytes long at most, or one row; the text column comes beside."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
@@ -112,7 +122,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["r"], _powers["i"]
 
 
-def word_hashes(buf: np.ndarray, word: np.ndarray = WORD, chunk: int = 2 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, word: np.ndarray = WORD, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, start and end of each run of word bytes. Long buffers go chunk by chunk, cut between words."""
     found, at = [], 0
     while at < len(buf):

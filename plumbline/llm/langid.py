@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_table, joined, mix, table
+from .common import blocks, bounded, byte_table, joined, mix, table
 
 MAX_TRAIN_DOCS = 1500
 N, MIN_DOCS, BITS, HASHES = 4, 3, 20, 3
@@ -107,7 +107,7 @@ class Filters:
 
 def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, n: int = N, min_docs: int = MIN_DOCS, bits: int = BITS, hashes: int = HASHES) -> Filters:
     """Filters from docs (doc_id, text, lang)."""
-    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
+    docs = bounded(docs).select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chosen = F.lit(False)
     for lang, size in sorted(sizes.items()):
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
             names, top, margin, total = _decided(model.value, text)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(top), pa.array(margin), pa.array(total.astype(np.int64))], ["doc_id", "lang_found", "share", "margin", "n_grams"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def keep(docs: DataFrame, filters: Filters, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -177,7 +177,7 @@ def keep(docs: DataFrame, filters: Filters, least_share: float = LEAST_SHARE) ->
             short = (total == 0) & np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\pL"), False))
             yield part.filter(pa.array((top >= least_share) | short))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

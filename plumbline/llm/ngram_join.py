@@ -15,9 +15,16 @@ repetitions within windows of a few million n-grams; the order decides how much
    node; a subtree goes as soon as its remaining length can't bring any set to the threshold. What arrives
    at the leaves are exact overlaps.
 
-There is no cap on list lengths, partners or candidates. Documents with a null doc_id or text, or without
-words, are in no pair. Repeated rows (the same doc_id and text) count once; a doc_id with several texts stands
-for each of them. Columns other than doc_id and text aren't read by similar().
+A list of more than LIST sets is cut into blocks by the sets' hash, and each pair of blocks goes on as a leader of
+its own: no task gets more than two blocks of a hot n-gram's sets, and no pair is lost. There is no cap on list
+lengths, partners or candidates.
+
+linked() gives one row for each document: its class, named by the least doc_id of all documents that links connect
+it to, and its number of links: the other documents whose Jaccard similarity to it reaches the threshold, copies
+among them. A text without words, and a null one, has no link and its own doc_id as class. Repeated rows (the same
+doc_id and set) count once; a doc_id with several texts has a row for each of their sets. Rows with a null doc_id
+take part, those with one set as one document; a class of only such has a null class_id. Columns other than doc_id
+and text aren't read by linked().
 """
 
 from __future__ import annotations
@@ -31,13 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, gram_hashes, joined, lists, mix, release, table, without, word_hashes
+from .common import blocks, bounded, checkpoint, gram_hashes, joined, lists, mix, release, table, without, word_hashes
 
 N, THRESHOLD, COMMON = 3, 0.5, 8
 #: N-grams looked at together for repetitions, and how many repetitions make one frequent.
 WINDOW, FREQUENT = 4_000_000, 2
 #: Entries of a broadcast table at most (8 to 16 bytes each); beyond, the frequent n-grams kept are the most frequent, and sets are joined without the filter before.
 BROADCAST = 2_000_000
+#: Sets of one n-gram, about, that are paired in one task.
+LIST = 2048
 #: Sorts before every n-gram that is frequent.
 _TOP = np.uint64(1 << 63)
 
@@ -64,18 +73,17 @@ def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _sets(batches, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_id, fingerprint, flat sets and bounds of the documents that have words."""
+    """doc_id, fingerprint (both as Arrow arrays have them), flat sets and bounds of the documents that have words."""
     for part, text in blocks(batches):
         flat, bounds = gram_sets(text, n)
         some = np.diff(bounds) > 0
-        ids = part.column(0).to_numpy(zero_copy_only=False)[some]
         bounds = np.r_[bounds[:-1][some], bounds[-1]]
-        if len(ids):
-            yield ids, fingerprints(flat, bounds), flat, bounds
+        if some.any():
+            yield part.column(0).filter(pa.array(some)), fingerprints(flat, bounds), flat, bounds
 
 
 def _first_pass(n: int):
@@ -107,8 +115,8 @@ def _first_pass(n: int):
     return run
 
 
-def _triples(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b.astype(np.int64))], ["kind", "a", "b"])
+def _triples(kind: int, a: np.ndarray, b: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
 
 def prefix_length(size: int, threshold: float, common: int) -> int:
@@ -166,31 +174,64 @@ def _cuts(k: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
 
 
-def _lists(batches):
-    """Sorted (gram, print, size) to (leader, gram, prints, sizes) of the n-grams with several sets."""
-    for t in _runs(batches):
-        gram, prints, size = (t.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((prints, gram))
-        gram, prints, size = gram[order], prints[order], size[order]
-        fresh = np.r_[True, (gram[1:] != gram[:-1]) | (prints[1:] != prints[:-1])]
-        gram, prints, size = gram[fresh], prints[fresh], size[fresh]
-        cuts = _cuts(gram)
-        n = np.diff(cuts)
-        many = n > 1
-        if many.any():
-            rows = np.repeat(many, n)
-            first = cuts[:-1][many]
-            yield pa.RecordBatch.from_arrays([pa.array(prints[first]), lists(prints[rows], n[many], pa.int64()), lists(size[rows], n[many], pa.int32())], ["leader", "prints", "sizes"])
+def _lists(most: int):
+    """Sorted (gram, print, size) to (leader, cut, prints, sizes) of the n-grams with several sets.
+
+    cut is 0 where all pairs of the row's sets count; else only those of a set before it and one from it on.
+    """
+
+    def run(batches):
+        for t in _runs(batches):
+            gram, prints, size = (t.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((prints, gram))
+            gram, prints, size = gram[order], prints[order], size[order]
+            fresh = np.r_[True, (gram[1:] != gram[:-1]) | (prints[1:] != prints[:-1])]
+            gram, prints, size = gram[fresh], prints[fresh], size[fresh]
+            cuts = _cuts(gram)
+            n = np.diff(cuts)
+            many = (n > 1) & (n <= most)
+            if many.any():
+                rows = np.repeat(many, n)
+                first = cuts[:-1][many]
+                yield _listed(prints[first], np.zeros(len(first), np.int32), prints[rows], size[rows], n[many])
+            for i in np.flatnonzero(n > most).tolist():
+                yield from _blocked(prints[cuts[i] : cuts[i + 1]], size[cuts[i] : cuts[i + 1]], most)
+
+    return run
+
+
+def _listed(leader: np.ndarray, cut: np.ndarray, prints: np.ndarray, size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(leader), pa.array(cut.astype(np.int32)), lists(prints, n, pa.int64()), lists(size, n, pa.int32())], ["leader", "cut", "prints", "sizes"])
+
+
+def _blocked(prints: np.ndarray, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """A long list as a row for each pair of blocks, whose sets are told by hash, so that other lists of the leader have the same ones."""
+    parts = 1 << int(np.ceil(np.log2(len(prints) / most)) + 1)
+    of = (mix(prints.view(np.uint64)) & np.uint64(parts - 1)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(parts + 1))
+    own = [order[ends[i] : ends[i + 1]] for i in range(parts)]
+    for i in range(parts):
+        rows, names, at = [], [], []
+        for j in range(i, parts):
+            if len(own[i]) and len(own[j]) and (i < j or len(own[i]) > 1):
+                rows.append(own[i] if i == j else np.r_[own[i], own[j]])
+                names.append((parts << 40) + (i << 20) + j)
+                at.append(0 if i == j else len(own[i]))
+        if rows:
+            every = np.concatenate(rows)
+            leader = mix(np.array(names, np.uint64) + mix(prints[:1].view(np.uint64))).view(np.int64)
+            yield _listed(leader, np.array(at), prints[every], size[every], np.array([len(r) for r in rows]))
 
 
 def _pairs(threshold: float):
-    """Sorted (leader, prints, sizes) to pairs (a, b, common, leader) by how many lists of the leader hold both."""
+    """Sorted (leader, cut, prints, sizes) to pairs (a, b, common, leader) by how many lists of the leader hold both."""
 
     def run(batches):
         for t in _runs(batches):
-            leaders = t.column(0).to_numpy()
-            flat, size = (t.column(i).combine_chunks().flatten().to_numpy() for i in (1, 2))
-            lens = pc.list_value_length(t.column(1)).to_numpy()
+            leaders, split = t.column(0).to_numpy(), t.column(1).to_numpy()
+            flat, size = (t.column(i).combine_chunks().flatten().to_numpy() for i in (2, 3))
+            lens = pc.list_value_length(t.column(2)).to_numpy()
             ends = np.r_[0, np.cumsum(lens)]
             cuts = _cuts(leaders)
             out: list[tuple[np.ndarray, ...]] = []
@@ -202,20 +243,38 @@ def _pairs(threshold: float):
                     if sizes.min() >= threshold * sizes.max() - 1e-9:
                         out.append((docs[:1], docs[1:], np.array([hi - lo]), leaders[lo : lo + 1], sizes.max(keepdims=True)))
                     continue
-                has = np.zeros((hi - lo, len(docs)), np.float32)
-                has[np.repeat(np.arange(hi - lo), lens[lo:hi]), col] = 1
-                for s in range(0, len(docs), 1024):
-                    both = has[:, s : s + 1024].T @ has
+                side = None
+                if split[lo]:  # a set is in the same block in all lists
+                    side = np.zeros(len(docs), np.int8)
+                    side[col] = np.arange(len(own)) - np.repeat(ends[lo:hi] - ends[lo], lens[lo:hi]) >= np.repeat(split[lo:hi], lens[lo:hi])
+                width = min(len(docs), 512)
+                for s in range(0, len(docs), width):
+                    both = np.zeros((min(width, len(docs) - s), len(docs)), np.float32)
+                    for g in range(lo, hi, 256):  # some lists at a time
+                        g_end = min(hi, g + 256)
+                        part = slice(ends[g] - ends[lo], ends[g_end] - ends[lo])
+                        has = np.zeros((g_end - g, len(docs)), np.float32)
+                        has[np.repeat(np.arange(g_end - g), lens[g:g_end]), col[part]] = 1
+                        both += has[:, s : s + width].T @ has
                     x, y = np.nonzero(both)
                     ok = (x + s < y) & (np.minimum(sizes[x + s], sizes[y]) >= threshold * np.maximum(sizes[x + s], sizes[y]) - 1e-9)
+                    if side is not None:
+                        ok &= side[x + s] != side[y]
                     x, y = x[ok], y[ok]
                     out.append((docs[x + s], docs[y], both[x, y].astype(np.int64), np.full(len(x), leaders[lo]), np.maximum(sizes[x + s], sizes[y])))
+                    if sum(len(o[0]) for o in out) > 200_000:
+                        yield _paired(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*out), (np.int64, np.int64, np.int32, np.int64, np.int32))], ["a", "b", "common", "leader", "larger"])
+                yield _paired(out)
 
     return run
 
 
+def _paired(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*out), (np.int64, np.int64, np.int32, np.int64, np.int32))], ["a", "b", "common", "leader", "larger"])
+
+
 def tree_join(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, int]]:
     """(i, j, overlap) of all pairs of the sets (arrays of distinct n-grams) that reach the threshold."""
     n = len(sets)
@@ -302,25 +361,27 @@ def _tree_joins(threshold: float):
     return run
 
 
-def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal sets (print, ids in order) and pairs of classes (a, b, jaccard)."""
+def members_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST, most: int = LIST) -> tuple[DataFrame, DataFrame]:
+    """Documents and their sets (print, id; distinct), and pairs of sets (a, b, jaccard)."""
     docs, spark = _narrow(docs), docs.sparkSession
-    first = checkpoint(docs.mapInArrow(_first_pass(n), "kind tinyint, a bigint, b bigint"))
-    classes = first.where("kind = 0").groupBy(F.col("a").alias("print")).agg(F.array_sort(F.collect_set("b")).alias("ids"))
+    some = docs.where("text is not null")
+    first = checkpoint(some.mapInArrow(_first_pass(n), "kind tinyint, a bigint, b bigint"))
+    documents = first.where("kind = 0").select(F.col("a").alias("print"), F.col("b").alias("id")).distinct()
     often = first.where("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
     found = often.orderBy(F.desc("n"), "gram").limit(broadcast).toArrow()
     grams, counts = (found.column(i).to_numpy().astype(np.int64) if found.num_rows else np.zeros(0, np.int64) for i in range(2))
     order = np.argsort(grams)
     model = spark.sparkContext.broadcast((grams[order].view(np.uint64), counts[order]))
 
-    prefixes = docs.mapInArrow(_prefixes(model, n, threshold, common), "gram bigint, print bigint, size int")
-    by_gram = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists, "leader bigint, prints array<bigint>, sizes array<int>")
+    prefixes = some.mapInArrow(_prefixes(model, n, threshold, common), "gram bigint, print bigint, size int")
+    by_gram = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists(most), "leader bigint, cut int, prints array<bigint>, sizes array<int>")
     counted = by_gram.repartition("leader").sortWithinPartitions("leader").mapInArrow(_pairs(threshold), "a bigint, b bigint, common int, leader bigint, larger int")
     # the set that shares a pair's most lists is its leader; what small sets can't have in common isn't asked
     candidates = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max_by("leader", "common").alias("leader"), F.max("larger").alias("larger"))
     candidates = candidates.where(F.col("common") >= F.least(F.lit(common), F.ceil(F.lit(threshold) * F.col("larger") - 1e-9)))
     members = candidates.select("leader", F.explode(F.array("a", "b")).alias("print")).distinct()
     members = checkpoint(members)
+    model.destroy()
     del prefixes, by_gram, counted, candidates
     release(spark)
     wanted = members.select("print").distinct()
@@ -348,32 +409,16 @@ def classes_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
                 own = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in rows])
                 yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), lists(own.view(np.int64), size, pa.int64())], ["print", "grams"])
 
-    bodies = docs.mapInArrow(sets, "print bigint, grams array<bigint>")
+    bodies = some.mapInArrow(sets, "print bigint, grams array<bigint>")
     together = members.join(bodies.hint("shuffle_hash") if chosen is None else bodies, "print").select("leader", "print", "grams")
     pairs = together.repartition("leader").sortWithinPartitions("leader").mapInArrow(_tree_joins(threshold), "a bigint, b bigint, jaccard double")
-    return classes, pairs.groupBy("a", "b").agg(F.first("jaccard").alias("jaccard"))
+    return documents, pairs.groupBy("a", "b").agg(F.first("jaccard").alias("jaccard"))
 
 
-def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST) -> DataFrame:
-    """Groups of equal sets and pairs of similar ones, as rows (doc_ids, jaccard).
-
-    A row with jaccard 1 lists all documents of one n-gram set, in order. Any other row lists the least
-    document of each of two sets; its jaccard holds for all documents with those sets.
-    """
-    classes, pairs = classes_and_pairs(docs, n, threshold, common, broadcast)
-    least = classes.select("print", F.col("ids")[0].alias("id"))
-    x = least.select(F.col("print").alias("a"), F.col("id").alias("id_a"))
-    y = least.select(F.col("print").alias("b"), F.col("id").alias("id_b"))
-    near = pairs.join(x, "a").join(y, "b").select(F.array_sort(F.array("id_a", "id_b")).alias("doc_ids"), "jaccard")
-    same = classes.where(F.size("ids") > 1).select(F.col("ids").alias("doc_ids"), F.lit(1.0).alias("jaccard"))
-    return same.unionByName(near)
-
-
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST) -> DataFrame:
-    """Connected components of the join: (doc_id, keeper), keeper being the least doc_id of the group, for all but the keepers."""
-    rows = checkpoint(similar(docs, n, threshold, common, broadcast).select("doc_ids"))
-    # rows have few members, or one star from the least: edges (node, least of its row)
-    edges = checkpoint(rows.select(F.explode("doc_ids").alias("u"), F.array_min("doc_ids").alias("v")).where("u <> v").distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (u, v): (u, v) of every node but the components' least, which is v."""
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    before = None
     while True:
         # large star, then small star: every node points at the least that it or its neighbours know
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -383,20 +428,71 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: in
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("low"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").unionByName(least.select("u", F.col("low").alias("v"))).distinct()
-        small = checkpoint(small)
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            break
-        edges = small
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("keeper"))
+        edges = checkpoint(small)
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before:
+            return edges
+        before = now
+
+
+def _classes(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each set that has several documents or is in a pair: print, class_id, n_links (those of one of its documents)."""
+    pairs = checkpoint(pairs.select("a", "b"))
+    release(pairs.sparkSession)
+    sizes = documents.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.select(F.col("print").alias("b"), "size"), "b").groupBy(F.col("a").alias("print")).agg(F.sum("size").alias("others"))
+    root = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("print"), F.col("v").alias("root"))
+    each = sizes.join(others, "print", "left").where("size > 1 or others is not null").join(root, "print", "left")
+    each = checkpoint(each.select("print", F.coalesce("root", "print").alias("root"), "least", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    least = each.groupBy("root").agg(F.min("least").alias("class_id"))
+    return each.join(least, "root").select("print", "class_id", "n_links")
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST, most: int = LIST) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document."""
+    documents, pairs = members_and_pairs(docs, n, threshold, common, broadcast, most)
+    classes = checkpoint(_classes(documents, pairs))
+    if classes.count() <= broadcast:
+        classes = F.broadcast(classes)
+    own = F.when(F.col("class_id").isNull() & F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    found = documents.join(classes, "print", "left").select(F.col("id").alias("doc_id"), own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    # a word is a letter, a digit or a character that isn't ASCII
+    rest = _narrow(docs).where(F.col("text").isNull() | ~F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+    rest = rest.select("doc_id").distinct()
+    return found.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
+
+
+_KEY = "__plumbline_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of their own for each row: the doc_id, or where that is null or there several times, a hash with the text, above usual ids.
+
+    Of rows that repeat a doc_id and a text only one stays.
+    """
+    ids = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_odd"))
+    if ids.isEmpty():
+        return docs.withColumn(_KEY, F.col("doc_id").cast("bigint"))
+    ids = checkpoint(ids)
+    same = lambda: docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("i._odd")), "left_semi")
+    plain = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("i._odd")), "left_anti")
+    odd = same().withColumn(_KEY, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 3))
+    once = odd.where("text is not null").dropDuplicates(["doc_id", "text"])
+    return plain.withColumn(_KEY, F.col("doc_id").cast("bigint")).unionByName(once).unionByName(odd.where("text is null"))
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON) -> DataFrame:
-    """docs without those whose group holds a document of a lesser doc_id, with all columns.
+    """One document of each class, the one with the least doc_id, with all columns of docs.
 
-    Rows that repeat a doc_id stay or go together; rows with a null doc_id or text, or without words, stay.
+    Rows that share a doc_id, or have none, are documents of their own that come after all others; of rows with equal
+    doc_id and text one stays. Rows with a null text or without words stay.
     """
-    return without(docs, groups(docs, n, threshold, common).select("doc_id"))
+    keyed = _keyed(docs)
+    links = linked(keyed.select(F.col(_KEY).alias("doc_id"), "text"), n, threshold, common)
+    return without(keyed, links.where("doc_id <> class_id").select("doc_id"), _KEY).drop(_KEY)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents"))
+    return linked(table(spark, sf_dir, "documents"))

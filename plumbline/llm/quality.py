@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SOLID, blocks, byte_table, gram_hashes, joined, mix, table, word_hashes
+from .common import SOLID, blocks, bounded, byte_table, gram_hashes, joined, mix, table, word_hashes
 
 MAX_TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, SHRINK, LEAST_WEIGHT = 60, 4, 0.15, 64, 1.0, 2.0
@@ -165,7 +165,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_R
             flat = statistics(text).ravel()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    bodies = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bodies = bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = bodies.where(chosen & F.col("text").isNotNull()).mapInArrow(run, "doc_id bigint, x array<double>")
     found = rows.join(labels.where(chosen), "doc_id").orderBy("doc_id", "quality").select("x", "quality").toArrow()
     if not found.num_rows:
@@ -182,7 +182,7 @@ def classify(docs: DataFrame, trees: Trees, least_score: float = LEAST_SCORE) ->
             score = model.value.score(statistics(text))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(score >= least_score)], ["doc_id", "score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

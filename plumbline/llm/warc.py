@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import bounded, shared_dir, table
 
 CHUNK_BYTES = 64 << 10
 BATCH_BYTES = 4 << 20
@@ -198,7 +198,7 @@ def write(pages: DataFrame, folder: str) -> list[str]:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
-    chosen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    chosen = bounded(pages).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return sorted(r["path"] for r in chosen.mapInArrow(run, "path string").collect())
 
 

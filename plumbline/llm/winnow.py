@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, gram_hashes, joined, table, without, word_hashes
+from .common import blocks, bounded, gram_hashes, joined, table, without, word_hashes
 
 K, W = 5, 4
 BROADCAST_WORDS = 4_000_000
@@ -108,7 +108,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _narrow(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
+    return bounded(df).select(F.col(key).cast("bigint").alias(key), F.col("text").cast("string").alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:

@@ -97,10 +97,11 @@ def test_winnow(spark, docs, none):
 
 
 def test_ngram_join(docs, none):
-    assert sorted(map(tuple, ngram_join.similar(docs).collect())) == [([1, 2], 1.0)]
-    assert ngram_join.similar(none).count() == 0
+    got = sorted((tuple(r) for r in ngram_join.linked(docs).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (2, 1, 1), *[(i, i, 0) for i in (3, 4, 5, 6, 7, 8, 9)], (None, None, 0)], key=repr)
+    assert ngram_join.linked(none).count() == 0
     kept = ngram_join.deduplicate(docs)
-    assert kept.columns == docs.columns and ids(kept) == [x for x in ALL if x != 2]
+    assert kept.columns == docs.columns and ids(kept) == sorted({x for x in ALL if x not in (1, None)}) + [None]
     assert ngram_join.deduplicate(none).count() == 0
 
 
