@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by additive quantisation; every row is a query.
+"""Approximate nearest neighbours by additive quantisation: a stated set of queries against all rows.
 
 A vector is approximated by the sum of one entry of each of M full-dimensional codebooks. Codebooks are trained
 one after another on the residuals of all rows (Lloyd's sums are added up by Spark); the first one, with about
@@ -11,10 +11,11 @@ How many lists a query visits and how many rows are measured exactly is found on
 neighbours over all rows are known: enough for the target recall. On clustered vectors that is a small part of the
 lists; on vectors without structure hardly any list can be left out.
 
-Lists near each other form groups of about GROUP_ROWS rows. A query goes to the groups of its lists, and where too
-many come to one group it is there several times, so that no task gets more than its share.
+Lists near each other form groups of about GROUP_ROWS rows. A query goes to the groups of its lists, where only the rows of
+these lists are estimated. A group to which too many queries come is there several times, and one with too many rows
+is split, each part being asked all its queries, so that no task gets more than its share.
 
-Rows with a null vec_id or vector, with null or infinite elements, or of another length than most (of the
+Queries are the rows whose vec_id is divisible by `every`; they search among all rows. Rows with a null vec_id or vector, with null or infinite elements, or of another length than most (of the
 longest, in a tie) neither search nor are found. Repeated rows count once; a vec_id with several vectors gets
 the nearest to any of them; a row is no neighbour of its own vec_id. Fewer than k others give fewer rows. Other
 columns aren't read.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table
+from .common import bounded, shared_dir, table
 
 BOOKS, ENTRIES, ROUNDS, BEAM = 8, 256, 2, 4
 NEIGHBOURS = 10
@@ -145,17 +146,17 @@ def train(rows: DataFrame, width: int, total: int, books: int = BOOKS, entries:
     return model
 
 
-def encoded(rows: DataFrame, model: Books, width: int) -> DataFrame:
-    """rows with codes and norm."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def encoded(rows: DataFrame, model: Books, width: int, group: np.ndarray) -> DataFrame:
+    """rows with codes, norm, and the group of their list."""
+    sent = rows.sparkSession.sparkContext.broadcast((model, group))
 
     def run(batches):
+        m, group = sent.value
         for batch in batches:
-            x = _matrix(batch.column(1), width)
-            codes, norms = sent.value.encode(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(codes), pa.array(norms)], ["vec_id", "x", "codes", "norm"])
+            codes, norms = m.encode(_matrix(batch.column(1), width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(codes), pa.array(norms), pa.array(group[codes[:, 0]])], ["vec_id", "x", "codes", "norm", "grp"])
 
-    return rows.mapInArrow(run, "vec_id bigint, x array<float>, codes array<int>, norm float")
+    return rows.mapInArrow(run, "vec_id bigint, x array<float>, codes array<int>, norm float, grp bigint")
 
 
 def _lists(a: np.ndarray) -> pa.Array:
@@ -180,6 +181,7 @@ def calibrate(enc: DataFrame, model: Books, width: int, k: int, target: float =
 
     def first(batches):
         m, q, own = sent.value
+        best: list[list[np.ndarray]] = []
         for batch in batches:
             ids, x, codes = batch.column(0).to_numpy(), _matrix(batch.column(1), width), _matrix(batch.column(2), len(m.books)).astype(np.int64)
             d = (x**2).sum(1) - 2 * q @ x.T
@@ -189,9 +191,16 @@ def calibrate(enc: DataFrame, model: Books, width: int, k: int, target: float =
             i = np.repeat(np.arange(len(q)), top.shape[1])
             j = top.ravel()
             ok = np.isfinite(d[i, j])
-            yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(d[i, j][ok].astype(np.float64)), pa.array(codes[j, 0][ok]), pa.array(est[i, j][ok].astype(np.float64))], ["q", "d", "list", "est"])
-
-    found = enc.mapInArrow(first, "q bigint, d double, list bigint, est double").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "list", "est"))), 1, k).alias("near")).collect()
+            best.append([i[ok], d[i, j][ok].astype(np.float64), codes[j, 0][ok], est[i, j][ok].astype(np.float64)])
+            if len(best) > 8:
+                best = [_least(best, k)]
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _least(best, k)], ["q", "d", "list", "est"])
+
+    near = F.slice(F.array_sort(F.collect_list(F.struct("d", "list", "est"))), 1, k).alias("near")
+    tops = enc.mapInArrow(first, "q bigint, d double, list bigint, est double")  # k rows of each task for each query; k of some tasks, then of all
+    some = tops.groupBy("q", F.pmod(F.spark_partition_id(), F.lit(1024)).alias("s")).agg(near).select("q", F.explode("near").alias("n")).select("q", "n.*")
+    found = some.groupBy("q").agg(near).collect()
     if not found:
         return 1, 1
     order = np.argsort(visits(model, q), axis=1)  # a list's turn
@@ -216,10 +225,19 @@ def calibrate(enc: DataFrame, model: Books, width: int, k: int, target: float =
     return lists, int(np.quantile(ranks, target, method="higher")) + 1
 
 
-def grouped(model: Books, total: int) -> np.ndarray:
+def _least(parts: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """Of arrays (query, distance, ...), the k rows of least distance for each query."""
+    q, d, *rest = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((d, q))
+    at = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    order = order[at < k]
+    return [x[order] for x in (q, d, *rest)]
+
+
+def grouped(model: Books, total: int, group_rows: int = GROUP_ROWS) -> np.ndarray:
     """A group for each list: nearby lists together."""
     centres = model.books[0]
-    n = max(1, min(len(centres), -(-total // GROUP_ROWS)))
+    n = max(1, min(len(centres), -(-total // group_rows)))
     group = np.zeros(len(centres), np.int64)
     parts = [np.arange(len(centres))]
     while len(parts) < n:  # halve the largest along its widest direction
@@ -240,15 +258,23 @@ def search(model: Books, members: pa.Table, queries: pa.Table, width: int, k: in
     """(query's vec_id, neighbour's, squared distance) of the queries' nearest among the members."""
     ids, x = members.column("vec_id").to_numpy(), _matrix(members.column("x"), width)
     codes, norms = _matrix(members.column("codes"), len(model.books)).astype(np.int64), members.column("norm").to_numpy()
+    order = np.argsort(codes[:, 0], kind="stable")  # a list's rows side by side
+    ids, x, codes, norms = ids[order], x[order], codes[order], norms[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(codes[:, 0])) + 1, len(ids)].tolist()
     names, every = queries.column("vec_id").to_numpy(), _matrix(queries.column("x"), width)
     step = max(1, min(256, (1 << 22) // max(1, len(ids))))
     for s in range(0, len(names), step):
         q, own = every[s : s + step], names[s : s + step]
-        est = estimates(model.tables(q), codes, norms)
+        tables = model.tables(q)
         if lists < len(model.books[0]):
+            est = np.full((len(q), len(ids)), np.inf, np.float32)
             open_to = np.zeros((len(q), len(model.books[0])), bool)
             np.put_along_axis(open_to, visits(model, q)[:, :lists], True, axis=1)
-            est[~open_to[:, codes[:, 0]]] = np.inf
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if len(some := np.flatnonzero(open_to[:, codes[lo, 0]])):
+                    est[some, lo:hi] = estimates([t[some] for t in tables], codes[lo:hi], norms[lo:hi])
+        else:
+            est = estimates(tables, codes, norms)
         est[own[:, None] == ids[None, :]] = np.inf
         keep = min(measured, len(ids))
         best = np.argpartition(est, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
@@ -266,37 +292,44 @@ def search(model: Books, members: pa.Table, queries: pa.Table, width: int, k: in
         yield own[i], ids[best[i, j]], d[i, j]
 
 
-def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, target: float = TARGET) -> DataFrame:
-    """The k nearest other rows of each row of vectors (vec_id, embedding), by Euclidean distance: (vec_id, rank, neighbour_id, distance)."""
+def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, target: float = TARGET, every: int = 1, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The k nearest other rows of each query among vectors (vec_id, embedding), by Euclidean distance: (vec_id, rank, neighbour_id, distance)."""
     spark = vectors.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/ann-{uuid.uuid4().hex}"
-    rows, width = rows_of(vectors)
+    rows, width = rows_of(bounded(vectors))
     rows.write.parquet(f"{base}/rows")
     rows = spark.read.parquet(f"{base}/rows")
     total = rows.count()
     if not total:
         return spark.createDataFrame([], T.StructType.fromDDL("vec_id bigint, rank int, neighbour_id bigint, distance double"))
     model = train(rows, width, total)
-    encoded(rows, model, width).write.parquet(f"{base}/codes")
+    group = grouped(model, total, group_rows)
+    encoded(rows, model, width, group).write.parquet(f"{base}/codes")
     enc = spark.read.parquet(f"{base}/codes")
     lists, measured = calibrate(enc, model, width, k, target)
-    group = grouped(model, total)
     sent = spark.sparkContext.broadcast((model, group))
 
     def sends(batches):
         m, group = sent.value
+        groups = int(group.max()) + 1
         for batch in batches:
             x = _matrix(batch.column(1), width)
-            to = group[visits(m, x)[:, :lists]]
-            i, g = np.nonzero(np.stack([(to == j).any(axis=1) for j in range(int(group.max()) + 1)], axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(g)], ["vec_id", "x", "grp"])
-
-    queries = enc.select("vec_id", "x").mapInArrow(sends, "vec_id bigint, x array<float>, grp bigint")
-    shares = {r["grp"]: -(-r["count"] // QUERY_ROWS) for r in queries.groupBy("grp").count().collect()}
-    share = F.element_at(F.create_map(*[F.lit(v).cast("int") for g in shares.items() for v in g]), F.col("grp").cast("int"))
-    of = F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.element_at("codes", 1) + 1)
-    members = enc.withColumn("grp", of.cast("bigint")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(share, F.lit(1)) - 1)))
-    queries = queries.withColumn("salt", F.pmod(F.xxhash64("vec_id"), share.cast("bigint")).cast("int"))
+            for s in range(0, len(x), 1024):
+                to = group[visits(m, x[s : s + 1024])[:, :lists]]
+                i, g = np.divmod(np.unique(np.arange(len(to))[:, None] * groups + to), groups)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + s)), batch.column(1).take(pa.array(i + s)), pa.array(g)], ["vec_id", "x", "grp"])
+
+    asked = enc.where(F.col("vec_id") % every == 0).select("vec_id", "x").mapInArrow(sends, "vec_id bigint, x array<float>, grp bigint")
+    asked.write.parquet(f"{base}/queries")
+    queries = spark.read.parquet(f"{base}/queries")
+    # a row for each group that is asked, of which there is one for group_rows rows
+    parts = enc.groupBy("grp").agg(F.ceil(F.count("*") / (4 * group_rows)).cast("int").alias("parts"))
+    shares = queries.groupBy("grp").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("shares"))
+    plan = F.broadcast(parts.join(shares, "grp"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n).cast("bigint")).cast("int")
+    members = enc.join(plan, "grp").withColumn("part", one("parts")).withColumn("share", each("shares")).drop("parts", "shares")
+    queries = queries.join(plan, "grp").withColumn("share", one("shares")).withColumn("part", each("parts")).drop("parts", "shares")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
@@ -304,11 +337,13 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, target: float = TARGET)
             out += search(sent.value[0], left, right, width, k, lists, measured)
         return pa.table([np.concatenate(x) for x in zip(*out)], ["vec_id", "neighbour_id", "distance"])
 
-    found = members.groupBy("grp", "salt").cogroup(queries.groupBy("grp", "salt")).applyInArrow(run, SCHEMA)
+    key = ("grp", "part", "share")
+    found = members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(run, SCHEMA)
     nearest_of = found.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("d")).groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "neighbour_id"))), 1, k).alias("near"))
     flat = nearest_of.select("vec_id", F.posexplode("near").alias("pos", "n"))
     return flat.select("vec_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.neighbour_id").alias("neighbour_id"), F.sqrt("n.d").alias("distance"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(table(spark, sf_dir, "embeddings"))
+    """The rows whose vec_id is divisible by 100 are the queries, all rows are searched."""
+    return neighbours(table(spark, sf_dir, "embeddings"), every=100)
