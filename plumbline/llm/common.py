@@ -35,9 +35,11 @@ def bounded(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, local mode) is one made and set as checkpoint directory.
+    Only in local mode, where the session names none, is one made and set as checkpoint directory; elsewhere ValueError.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(named)

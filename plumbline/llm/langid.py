@@ -9,8 +9,8 @@ first in alphabetical order in a tie.
 
 N-grams are the successive n bytes of the lower-cased text in which each run of bytes other than letters is
 one blank. The filters are fitted on a sample of labelled rows of about max_train_docs a language (by a hash
-of doc_id, all rows where there are fewer); an n-gram counts where it occurs in at least min_docs of a
-language's sampled rows, or in all of them if there are fewer.
+of doc_id, all rows where there are fewer); an n-gram counts where it occurs in at least the share min_share of a
+language's sampled rows, and in one.
 
 A null or empty text, or one without letters, has lang_found null and share 0. Rows with a null text or
 label don't train. Without any training row every text has lang_found null. Repeated rows are decided
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import blocks, bounded, byte_table, joined, mix, table
 
 MAX_TRAIN_DOCS = 1500
-N, MIN_DOCS, BITS, HASHES = 4, 3, 20, 3
+N, MIN_SHARE, BITS, HASHES = 4, 0.002, 20, 3
 #: A text of which no language has this share is rejected.
 LEAST_SHARE = 0.4
 SCHEMA = "doc_id bigint, lang_found string, share double, margin double, n_grams bigint"
@@ -63,7 +63,9 @@ def grams(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 def places(h: np.ndarray, bits: int, hashes: int):
     """The positions of each n-gram in the filter, one array for each hash function."""
-    return [((h >> np.uint64(20 * j)) & np.uint64((1 << bits) - 1)).astype(np.int64) for j in range(hashes)]
+    fresh = lambda j: mix(h + np.uint64(j)) >> np.uint64(64 - bits)
+    own = lambda j: (h >> np.uint64(bits * j)) & np.uint64((1 << bits) - 1)
+    return [(own(j) if bits * (j + 1) <= 64 else fresh(j)).astype(np.int64) for j in range(hashes)]
 
 
 @dataclass
@@ -105,7 +107,7 @@ class Filters:
         return np.clip(out, 0, 1), total
 
 
-def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, n: int = N, min_docs: int = MIN_DOCS, bits: int = BITS, hashes: int = HASHES) -> Filters:
+def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, n: int = N, min_share: float = MIN_SHARE, bits: int = BITS, hashes: int = HASHES) -> Filters:
     """Filters from docs (doc_id, text, lang)."""
     docs = bounded(docs).select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -129,20 +131,15 @@ def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, n: int = N, min_d
 
     sample = docs.where(chosen & F.col("text").isNotNull())
     seen = sample.select("text", "lang").mapInArrow(count, "lang string, gram bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    found = seen.where(F.col("docs") >= _least(sizes, max_train_docs, min_docs)).select("lang", "gram").toArrow()
+    least = F.lit(0.0)
+    for lang, size in sizes.items():
+        least = F.when(F.col("lang") == lang, min_share * min(size, max_train_docs)).otherwise(least)
+    found = seen.where(F.col("docs") >= least).select("lang", "gram").toArrow()
     code = found.column("lang").to_numpy() if found.num_rows else np.zeros(0, object)
     hashes_found = found.column("gram").to_numpy().view(np.uint64) if found.num_rows else np.zeros(0, np.uint64)
     return Filters.of({lang: hashes_found[code == lang] for lang in sizes if (code == lang).any()}, n, bits, hashes)
 
 
-def _least(sizes: dict[str, int], most: int, min_docs: int):
-    least = F.lit(min_docs)
-    for lang, size in sizes.items():
-        if min(size, most) < 4 * min_docs:  # hardly any rows: each counts
-            least = F.when(F.col("lang") == lang, 1).otherwise(least)
-    return least
-
-
 def _decided(filters: Filters, text: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     share, total = filters.shares(text)
     best = share.argmax(axis=1)

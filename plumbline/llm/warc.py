@@ -1,13 +1,15 @@
 """WARC files as a table of chunks.
 
 A record's payload is read from the file piece by piece and becomes rows (record_id, chunk_no, start, chunk,
-digest, last, valid). digest is the SHA-1 of the payload up to the end of the chunk, carried from chunk to
+digest, last, valid, error). digest is the SHA-1 of the payload up to the end of the chunk, carried from chunk to
 chunk; on the last one, valid says whether it equals the digest in the record's header (null where there is
 none). Neither reader nor table ever holds more than a chunk of a record; a batch of rows has BATCH_BYTES
 of chunks at most, or one chunk.
 
 An empty payload gives one empty chunk. Of a response record the HTTP head is left out. Files may be gzipped,
-as a whole or record by record. A file that ends within a record raises EOFError; a broken head, ValueError.
+as a whole or record by record. What is wrong in a file becomes a row with an error, an empty chunk, last true and
+valid false: after a broken head reading goes on at the next line that begins a record; a file that ends within a record,
+or whose bytes can't be read any further, ends with such a row. A missing file fails the job.
 
 write() makes one file for each task, in a folder that all executors reach, under a name that no other
 attempt at the task has, and returns the names that the successful attempts gave: files of lost attempts are
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -33,8 +36,10 @@ from .common import bounded, shared_dir, table
 CHUNK_BYTES = 64 << 10
 BATCH_BYTES = 4 << 20
 HEAD_BYTES = 1 << 20
-SCHEMA = "record_id string, chunk_no int, start bigint, chunk binary, digest string, last boolean, valid boolean"
-_ARROW = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("start", pa.int64()), ("chunk", pa.binary()), ("digest", pa.string()), ("last", pa.bool_()), ("valid", pa.bool_())])
+SCHEMA = "record_id string, chunk_no int, start bigint, chunk binary, digest string, last boolean, valid boolean, error string"
+_ARROW = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("start", pa.int64()), ("chunk", pa.binary()), ("digest", pa.string()), ("last", pa.bool_()), ("valid", pa.bool_()), ("error", pa.string())])
+#: What reading raises where the bytes end early or aren't what their compression says.
+_UNREADABLE = (EOFError, OSError, zlib.error)
 
 
 class _Stream:
@@ -59,6 +64,18 @@ class _Stream:
         out, self.kept = self.kept[: at + 1], self.kept[at + 1 :]
         return out
 
+    def to_record(self) -> None:
+        """Skips lines, of any length, up to one that begins a record, or to the end of the file."""
+        while True:
+            at = 0 if self.kept.startswith(b"WARC/") else self.kept.find(b"\nWARC/") + 1 or -1
+            if at >= 0:
+                self.kept = self.kept[at:]
+                return
+            self.kept = self.kept[-5:]
+            if not self._more():
+                self.kept = b""
+                return
+
     def take(self, most: int) -> bytes:
         """Some bytes, most at most; none at the end of the file."""
         if not self.kept:
@@ -105,31 +122,57 @@ def _matches(field: str | None, digest: bytes) -> bool | None:
 def chunks(raw: BinaryIO, chunk_bytes: int = CHUNK_BYTES, kinds: tuple[str, ...] = ("resource", "response")) -> Iterator[tuple]:
     """Rows of a file's records of these types."""
     stream = _Stream(raw)
-    while (head := _head(stream)) is not None:
-        left = int(head.get("content-length", "-1"))
-        if left < 0:
-            raise ValueError("a record has no Content-Length")
+    empty = hashlib.sha1().hexdigest()
+    while True:
+        try:
+            if (head := _head(stream)) is None:
+                return
+            size = head.get("content-length", "")
+            if not (size.isascii() and size.isdigit()):
+                raise ValueError(f"a record has the Content-Length {size[:40]!r}")
+            left = int(size)
+        except ValueError as e:
+            yield "", 0, 0, b"", empty, True, False, str(e)
+            stream.to_record()
+            continue
+        except _UNREADABLE as e:
+            yield "", 0, 0, b"", empty, True, False, str(e)
+            return
         kind, wanted = head.get("warc-type"), head.get("warc-type") in kinds
         if wanted and kind == "response" and "http" in head.get("content-type", "http"):
-            while left:
-                line = stream.line()[:left]
-                left -= len(line)
-                if not line.strip():
-                    break
+            try:
+                while left:
+                    line = stream.line()
+                    line, stream.kept = line[:left], line[left:] + stream.kept
+                    left -= len(line)
+                    if not line.strip():
+                        break
+            except (ValueError, *_UNREADABLE) as e:
+                yield head.get("warc-record-id", "").strip("<>"), 0, 0, b"", empty, True, False, str(e)
+                stream.to_record()
+                continue
         name = head.get("warc-record-id", "").strip("<>")
         state, start, no, piece = hashlib.sha1(), 0, 0, b""
         while True:
             while left and len(piece) < chunk_bytes:
-                more = stream.take(min(left, chunk_bytes - len(piece)))
+                try:
+                    more, why = stream.take(min(left, chunk_bytes - len(piece))), "the file ends within a record"
+                except _UNREADABLE as e:
+                    more, why = b"", str(e)
                 if not more:
-                    raise EOFError("the file ends within a record")
+                    if wanted:
+                        state.update(piece)
+                        yield name, no, start, piece, state.hexdigest(), True, False, why
+                    else:
+                        yield name, 0, 0, b"", empty, True, False, why
+                    return
                 left -= len(more)
                 piece += more
             if wanted:
                 state.update(piece)
                 last = not left
                 valid = _matches(head.get("warc-payload-digest"), state.digest()) if last else None
-                yield name, no, start, piece, state.hexdigest(), last, valid
+                yield name, no, start, piece, state.hexdigest(), last, valid, None
             start, no, piece = start + len(piece), no + 1, b""
             if not left:
                 break
@@ -214,5 +257,5 @@ WITH p AS (SELECT 'urn:pages:' || coalesce(CAST(page_id AS VARCHAR), 'null') AS
 c AS (SELECT record_id, h, octet_length(h) AS n, unnest(range(0, greatest(1, (octet_length(h) + {CHUNK_BYTES - 1}) // {CHUNK_BYTES}))) AS k FROM p)
 SELECT record_id, CAST(k AS INTEGER) AS chunk_no, CAST(k * {CHUNK_BYTES} AS BIGINT) AS start,
 base64(h[k * {CHUNK_BYTES} + 1:(k + 1) * {CHUNK_BYTES}]) AS chunk, sha1(h[1:(k + 1) * {CHUNK_BYTES}]) AS digest,
-(k + 1) * {CHUNK_BYTES} >= n AS last, CASE WHEN (k + 1) * {CHUNK_BYTES} >= n THEN true END AS valid FROM c
+(k + 1) * {CHUNK_BYTES} >= n AS last, CASE WHEN (k + 1) * {CHUNK_BYTES} >= n THEN true END AS valid, CAST(NULL AS VARCHAR) AS error FROM c
 """
