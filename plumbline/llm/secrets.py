@@ -9,7 +9,7 @@ the start. Matches of a rule are leftmost-longest and don't overlap.
 
 Rules use the part of regular-expression syntax that automata need: literals, classes, groups, |, ?, *, +,
 {m,n}, the escapes s d w, and a word boundary at the start or end of the whole rule. They work on ASCII
-bytes; any other byte counts as no word character, as in RE2 and DuckDB.
+bytes; any other byte counts as no word character, as in RE2 and DuckDB. In (?i:...) letters stand for both cases.
 
 Null and empty texts hold no secret. A row with a null doc_id is scanned like any other. Repeated rows
 give repeated findings. Other columns of the input aren't read.
@@ -19,22 +19,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import END, blocks, joined, table
+from .common import END, blocks, bounded, joined, mix, table
 
+_KEYS = r"(?i:(?:(?:access|api|app|auth|aws|client|db|github|hub|my|private|secret|slack|user|x)_)?(?:token|secret|passwd|password|key)|apikey)"
+#: A run that may hold a hyphen lets every other rule begin within it, and its count multiplies the automaton's states:
+#: so what is counted is free of them.
 RULES: tuple[tuple[str, str], ...] = (
-    ("assigned_token", r"\b(?:token|secret|passwd|password|api_key|apikey|access_key|auth_token)[ ]{0,2}[:=][ ]{0,2}[\"'][0-9A-Za-z_]{16,}[0-9A-Za-z_+/.=\-]*[\"']"),
+    ("assigned_token", r"\b" + _KEYS + r"[\"']?[ ]{0,2}[:=][ ]{0,2}[\"'][0-9A-Za-z_]{16,}[0-9A-Za-z_+/.=\-]*[\"']"),
     ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("bare_token", r"\b" + _KEYS + r"[ ]{0,2}[:=][ ]{0,2}[0-9A-Za-z_]{20,}\b"),
     ("github_token", r"\bgh[opusr]_[0-9A-Za-z]{36}\b"),
-    ("google_api_key", r"\bAIza[0-9A-Za-z_]{35}\b"),
-    ("jwt", r"\beyJ[0-9A-Za-z_]{10,}\.eyJ[0-9A-Za-z_]{10,}\.[0-9A-Za-z_]{10,}\b"),
+    ("gitlab_token", r"\bglpat-[0-9A-Za-z_]{20}"),
+    ("google_api_key", r"\bAIza[0-9A-Za-z_]{4,}[0-9A-Za-z_\-]*"),
+    ("hub_token", r"\bhf_[0-9A-Za-z]{34}\b"),
+    ("jwt", r"\beyJ[0-9A-Za-z_]{4,}[0-9A-Za-z_\-]*\.eyJ[0-9A-Za-z_]{4,}[0-9A-Za-z_\-]*\.[0-9A-Za-z_]+[0-9A-Za-z_\-]*"),
     ("npm_token", r"\bnpm_[0-9A-Za-z]{36}\b"),
     ("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
+    ("shop_token", r"\bshp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32}\b"),
     ("slack_token", r"\bxox[abprs]-[0-9]{8,13}-[0-9A-Za-z]{12,48}\b"),
     ("stripe_key", r"\b[rs]k_live_[0-9A-Za-z]{24,64}\b"),
     ("url_password", r"\b(?:https?|ftp|postgres|mysql|redis|mongodb|amqp)://[0-9A-Za-z_.]+:[0-9A-Za-z_.!$%]+@"),
@@ -51,6 +59,7 @@ class _Parser:
 
     def __init__(self, rule: str) -> None:
         self.head, self.tail = rule.startswith(r"\b"), rule.endswith(r"\b")
+        self.fold = False
         self.s, self.i = rule[2 * self.head : len(rule) - 2 * self.tail], 0
         self.tree = self.alt()
         if self.i < len(self.s):
@@ -92,21 +101,30 @@ class _Parser:
     def atom(self):
         c = self.take()
         if c == "(":
+            before = self.fold
             if self.s.startswith("?:", self.i):
                 self.i += 2
+            elif self.s.startswith("?i:", self.i):
+                self.i, self.fold = self.i + 3, True
             tree = self.alt()
+            self.fold = before
             if self.take() != ")":
                 raise ValueError("a group isn't closed")
             return tree
         if c == "[":
-            return ("set", self.members())
+            return self.set(self.members())
         if c == ".":
             return ("set", _ANY - {10})
         if c == "\\":
             return ("set", self.escape(self.take()))
         if c in "^$" or ord(c) > 126:
             raise ValueError(f"{c!r} isn't supported")
-        return ("set", frozenset({ord(c)}))
+        return self.set(frozenset({ord(c)}))
+
+    def set(self, members: frozenset[int]):
+        if self.fold:
+            members |= {b ^ 32 for b in members if chr(b).isascii() and chr(b).isalpha()}
+        return ("set", members)
 
     @staticmethod
     def escape(c: str) -> frozenset[int]:
@@ -207,11 +225,12 @@ def _classes(nfa: _Nfa, extra: list[frozenset[int]]) -> np.ndarray:
 
 
 def _minimised(trans: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Partition refinement: the smaller table, its labels, and each old state's new one."""
+    """Partition refinement: the smaller table, its labels, and each old state's new one. Rows are compared by 64-bit hashes."""
+    odd = mix(np.arange(1, trans.shape[1] + 2, dtype=np.uint64)) | np.uint64(1)
     part = np.unique(label, return_inverse=True)[1].ravel()
     while True:
-        rows = np.column_stack([part, part[trans]])
-        new = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+        spread = mix(part.astype(np.uint64) + np.uint64(1))
+        new = np.unique(spread * odd[0] + (spread[trans] * odd[1:]).sum(axis=1, dtype=np.uint64), return_inverse=True)[1].ravel()
         if new.max() == part.max():
             break
         part = new
@@ -251,28 +270,36 @@ class Automaton:
         cls = _classes(nfa, [_WORDS, frozenset({END})])
         sample = {int(c): int(b) for b, c in reversed(list(enumerate(cls)))}
         index, todo, rows, hits = {}, [], [], []
-
-        def number(core: frozenset[int], hit: int) -> int:
-            key = (nfa.closure(core), hit)
+        bits = lambda states: sum(1 << x for x in nfa.closure(states))
+        begin = [bits({outside}) if b == END or b in nonword else bits({inside}) for _, b in sorted(sample.items())]
+        after = {  # of the states that have an arc or end a rule: where each class leads, as bits
+            x: [bits({nfa.arcs[x][1]}) if nfa.arcs[x] and b != END and b in nfa.arcs[x][0] else 0 for _, b in sorted(sample.items())] for x in range(len(nfa.arcs)) if nfa.arcs[x] or x in final
+        }
+        live = sum(1 << x for x in after)
+
+        def number(states: int, hit: int) -> int:
+            key = (states & live, hit)
             if key not in index:
                 index[key] = len(index)
                 todo.append(key)
             return index[key]
 
-        number(frozenset({outside}), 0)
+        number(bits({outside}), 0)
+        ended = [b in nonword for _, b in sorted(sample.items())]
         while len(rows) < len(todo):
             states, hit = todo[len(rows)]
             hits.append(hit)
-            arcs = [nfa.arcs[s] for s in states if nfa.arcs[s]]
-            ends = [final[s] for s in states if s in final]
-            row = []
-            for c in range(len(sample)):
-                b = sample[c]
-                now = sum(1 << k for k, tail in ends if not tail or b in nonword)
-                core = {outside if b in nonword else inside} if b != END else {outside}
-                core |= {to for s, to in arcs if b in s} if b != END else set()
-                row.append(number(frozenset(core), now))
-            rows.append(row)
+            to, some, at_end = list(begin), 0, 0
+            while states:
+                low = states & -states
+                states ^= low
+                x = low.bit_length() - 1
+                to = list(map(or_, to, after[x]))
+                if x in final:
+                    k, tail = final[x]
+                    at_end |= 1 << k
+                    some |= 0 if tail else 1 << k
+            rows.append([number(y, at_end if end else some) for y, end in zip(to, ended)])
         trans, label, part = _minimised(np.array(rows, np.int32), np.array(hits, np.int64))
         start = part[0]
         order = np.r_[start, np.delete(np.arange(len(trans)), start)]  # the start is state 0
@@ -425,7 +452,7 @@ def scan(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFra
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "rule", "start_char", "end_char", "secret"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -463,7 +490,7 @@ def redact(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
                 part = pa.RecordBatch.from_arrays(arrays, schema=part.schema)
             yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
