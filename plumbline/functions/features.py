@@ -1,8 +1,8 @@
 """The fourteen dimensions as columns of a prepared document table.
 
 prepare() adds the columns that all of them read: ``t`` (cleaned text), ``low`` (its lower case), ``w`` (words) and
-``sents`` (sentences). No dimension shuffles: everything about a document is computed in its own row. Only
-redundancy (TF-IDF of a document's own sentences) leaves the JVM, in Arrow batches.
+``sents`` (sentences). No dimension shuffles: everything about a document is computed in its own row. The builders
+here say what each is; dimensions() has onepass.py compute those that nothing has replaced, all at once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -278,13 +279,24 @@ def parallelism(settings: Settings) -> Column:
     return _rate("parallelism", weighted(pack("parallelism")) + tricolons() * SEVERITIES["low"])
 
 
+_DEFAULTS = registry()
+
+
 def dimensions(prepared: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """prepared with a column for each dimension; a disabled one is 0 and its expression isn't built."""
+    """prepared with a column for each dimension; a disabled one is 0 and isn't computed."""
+    from plumbline.functions.onepass import measure
+
     settings = settings or Settings()
     build = registry()
-    return prepared.withColumns(
-        {
-            d: F.lit(0.0) if d in settings.disabled_dimensions else F.coalesce(build[d](settings), F.lit(0.0))
-            for d in DIMENSIONS
-        }
-    )
+    on = [d for d in DIMENSIONS if d not in settings.disabled_dimensions]
+    usual = tuple(d for d in on if build[d] is _DEFAULTS.get(d))
+    if usual:
+        prepared = prepared.withColumn("_measured", measure(settings, usual))
+    value = lambda d: F.col(f"_measured.{d}") if d in usual else F.coalesce(build[d](settings), F.lit(0.0)) if d in on else F.lit(0.0)
+    return prepared.withColumns({d: value(d) for d in DIMENSIONS}).drop("_measured")
+
+
+def dimension(prepared: DataFrame, name: str, settings: Settings | None = None) -> DataFrame:
+    """prepared with the column of one dimension; no other one is computed."""
+    settings = settings or Settings()
+    return dimensions(prepared, replace(settings, disabled_dimensions=frozenset(DIMENSIONS) - {name}))

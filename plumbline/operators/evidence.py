@@ -5,101 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import features
+from plumbline.functions import onepass
 from plumbline.functions import text as T
-from plumbline.functions.features import quoted
 from plumbline.operators import suppress
-from plumbline.rules import CODED, EM_DASH, LEXICON, PARTICIPLE, REWRITES, RULES, TRICOLON, Rule
-from plumbline.settings import DIMENSIONS, Settings
+from plumbline.settings import Settings
 
-_HIT = "struct<start:int,end:int,ord:int,n:int,rule_id:string,dimension:string,severity:string,explanation:string,replacement:string,confidence:double>"
-_NONE = f"array<{_HIT}>"
+_NONE = "array<struct<start:int,end:int,ord:int,n:int,rule_id:string,dimension:string,severity:string,explanation:string,replacement:string,confidence:double>>"
+_META = ("ord", "rule_id", "dimension", "severity", "explanation", "replacement", "confidence")
+_KINDS = dict(zip(_META, ("int", "string", "string", "string", "string", "string", "double")))
 
 
-def _order(dimension: str, k: int) -> int:
-    """Findings that start together stand by dimension, then rule; rewrites come last."""
-    return (DIMENSIONS.index(dimension) if dimension in DIMENSIONS else len(DIMENSIONS)) * 1000 + k
+def hits(settings: Settings, rewrites: bool = False) -> Column:
+    """All findings of a prepared row, in cleaned offsets, before suppression; or its rewrites: shorter wordings, which neither suppression nor severities change."""
+    entries = onepass.catalogue(settings, rewrites)
+    if not entries:
+        return F.array().cast(_NONE)
+    meta = F.array(*(F.struct(*(F.lit(e[k]).cast(_KINDS[k]).alias(k) for k in _META)) for e in entries))
 
+    def whole(x: Column) -> Column:
+        of = F.get(meta, x["i"])
+        named = {k: of[k] for k in _META} | {"explanation": F.coalesce(x["note"], of["explanation"])}
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), named["ord"].alias("ord"), x["n"].alias("n"), *(named[k].alias(k) for k in _META[1:]))
 
-def _hits(found: Column, order: int, rule_id: Column, dimension: str, severity: Column, why: Column, replacement: str | None = None, confidence: float | None = None) -> Column:
-    return F.transform(
-        found,
-        lambda x, i: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), F.lit(order).alias("ord"), i.alias("n"), rule_id.alias("rule_id"), F.lit(dimension).alias("dimension"),
-            severity.alias("severity"), why.alias("explanation"), F.lit(replacement).cast("string").alias("replacement"), F.lit(confidence).cast("double").alias("confidence"),
-        ),
-    )
-
-
-def _found(rule: Rule, k: int, severity: str, replacement: str | None = None, confidence: float | None = None) -> str:
-    """SQL of a struct of the rule and what its expression finds and leaves between; null where it can't match."""
-    fields = {
-        "ord": str(_order(rule.dimension, k)), "rule_id": quoted(rule.rule_id), "dimension": quoted(rule.dimension), "severity": quoted(severity), "explanation": quoted(rule.explanation),
-        "replacement": "CAST(NULL AS STRING)" if replacement is None else quoted(replacement), "confidence": "CAST(NULL AS DOUBLE)" if confidence is None else f"{confidence}D",
-        "m": f"regexp_extract_all(t, {quoted(rule.java)}, 0)", "g": f"split(t, {quoted(rule.java)}, -1)",
-    }
-    return f"CASE WHEN {features.may_match(rule)} THEN named_struct({', '.join(f'{quoted(n)}, {x}' for n, x in fields.items())}) END"
-
-
-def _placed(found: list[str]) -> Column:
-    """Hits of all rules: one fold over each rule's matches adds up the lengths before them."""
-    meta = ", ".join(f"'{x}', h.{x}" for x in ("rule_id", "dimension", "severity", "explanation", "replacement", "confidence"))
-    step = f"named_struct('at', a.at + length(x.g) + length(x.m), 'n', a.n + 1, 'out', array_append(a.out, named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'ord', h.ord, 'n', a.n, {meta})))"
-    zipped = "transform(h.m, (m, i) -> named_struct('m', m, 'g', h.g[i]))"
-    one = f"aggregate({zipped}, named_struct('at', 0, 'n', 0, 'out', CAST(array() AS {_NONE})), (a, x) -> {step}, a -> a.out)"
-    return F.expr(f"flatten(transform(filter(array({', '.join(found)}), h -> size(h.m) > 0), h -> {one}))")
-
-
-def _severity(rule_id: str, default: str, settings: Settings) -> Column:
-    return F.lit(settings.rule_severity.get(rule_id, default))
-
-
-def _lexicon(settings: Settings) -> list[str]:
-    rules = [
-        (Rule(c.rule_id, "lexical_markers", c.severity, rf"\b(?:{'|'.join(sorted(c.terms, key=lambda t: (-len(t), t)))})\b", c.terms, "word that polished text overuses"), k)
-        for k, c in enumerate(LEXICON)
-        if c.weight_in(settings.profile) > 0 and c.rule_id not in settings.disabled_rules
-    ]
-    return [_found(r, k, settings.rule_severity.get(r.rule_id, r.severity)) for r, k in rules]
-
-
-def _dash(settings: Settings) -> Column:
-    first = F.array(T.spans(F.regexp_extract("t", f"(?s)^.*?{features.DASH}", 0), features.DASH)[0])
-    why = F.format_string("%d dashes to %d commas", features.counted(features.DASH), features.counted(features.COMMA))
-    hits = _hits(first, _order("formatting_tells", 0), F.lit(EM_DASH), "formatting_tells", _severity(EM_DASH, "low", settings), why)
-    return F.when(features.dash_signal() > 0, hits).otherwise(F.array().cast(_NONE))
-
-
-def _coded(rule_id: str, regex: str, keep: Column, guard: Column, k: int, settings: Settings) -> Column:
-    """Matches of which keep, an array of flags beside them, says yes."""
-    dimension, severity = CODED[rule_id]
-    both = F.filter(F.arrays_zip(T.spans(F.col("t"), regex).alias("x"), keep.alias("keep")), lambda z: z["keep"])
-    hits = _hits(F.transform(both, lambda z: z["x"]), _order(dimension, k), F.lit(rule_id), dimension, _severity(rule_id, severity, settings), F.lit("three abstract items" if rule_id == TRICOLON else "trailing clause of vague weight"))
-    return F.when(guard, hits).otherwise(F.array().cast(_NONE))
-
-
-def hits(settings: Settings) -> Column:
-    """All findings of a prepared row, in cleaned offsets, before suppression."""
-    on = lambda dimension, rule_id: dimension not in settings.disabled_dimensions and rule_id not in settings.disabled_rules
-    found = [_found(r, k, settings.rule_severity.get(r.rule_id, r.severity)) for k, r in enumerate(RULES) if on(r.dimension, r.rule_id)]
-    if "lexical_markers" not in settings.disabled_dimensions:
-        found += _lexicon(settings)
-    parts = [_placed(found)] if found else []
-    if on("formatting_tells", EM_DASH):
-        parts.append(_dash(settings))
-    if on("superficial_analysis", PARTICIPLE):
-        parts.append(_coded(PARTICIPLE, features.PARTICIPLE, features.superficial_flags(), F.contains("low", F.lit("ing")), 0, settings))
-    if on("parallelism", TRICOLON):
-        group = [F.regexp_extract_all("t", F.lit(f"(?U){features.TRICOLON}"), F.lit(k)).alias(x) for k, x in enumerate("abc", 1)]
-        flags = F.transform(F.arrays_zip(*group), lambda x: features.abstract_three(x["a"], x["b"], x["c"]))
-        parts.append(_coded(TRICOLON, f"(?U){features.TRICOLON}", flags, F.contains("t", F.lit(" and ")), 900, settings))
-    return F.flatten(F.array(*parts)) if parts else F.array().cast(_NONE)
-
-
-def rewrites(settings: Settings) -> Column:
-    """Shorter wordings; neither suppression nor severities change them."""
-    found = [_found(r.rule, k, r.rule.severity, r.replacement, r.confidence) for k, r in enumerate(REWRITES) if r.rule.rule_id not in settings.disabled_rules]
-    return _placed(found) if found else F.array().cast(_NONE)
+    return F.transform(F.col("_rewritten" if rewrites else "_located"), whole)
 
 
 def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -111,7 +39,10 @@ def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> Data
     settings = settings or Settings()
     df = prepared.withColumn("_comments", suppress.comments(F.col("original"), settings.comment_prefix))
     df = df.withColumns({"_silent": suppress.ranges(F.col("original"), F.col("_comments")), "_gone": T.collapsed(F.col("original")), "unknown_names": suppress.unknown_names(F.col("_comments"), settings)})
-    df = df.withColumns({"_hits": hits(settings), "_rewrites": rewrites(settings) if settings.suggest else F.array().cast(_NONE)})
+    df = df.withColumn("_located", onepass.locate(settings))
+    if settings.suggest:
+        df = df.withColumn("_rewritten", onepass.locate(settings, rewrites=True))
+    df = df.withColumns({"_hits": hits(settings), "_rewrites": hits(settings, rewrites=True) if settings.suggest else F.array().cast(_NONE)})
 
     def placed(x: Column) -> Column:
         start = T.to_original(x["start"], F.col("_gone"))
@@ -127,7 +58,7 @@ def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> Data
 
     at = F.transform("_hits", placed)
     kept = F.filter(at, lambda e: ~suppress.silenced(F.col("_silent"), e["start_char"], e["rule_id"], e["dimension"]))
-    return df.withColumn("evidence", F.array_sort(F.concat(kept, F.transform("_rewrites", placed)))).drop("_comments", "_silent", "_gone", "_hits", "_rewrites")
+    return df.withColumn("evidence", F.array_sort(F.concat(kept, F.transform("_rewrites", placed)))).drop("_comments", "_silent", "_gone", "_located", "_rewritten", "_hits", "_rewrites")
 
 
 def findings(prepared: DataFrame, settings: Settings | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

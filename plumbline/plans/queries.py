@@ -81,7 +81,7 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dimension(name: str) -> None:
     sql = f"{o.cleaned()}, {o.REDUNDANCY} SELECT doc_id, round(redundancy, 6) AS redundancy FROM rd" if name == "redundancy" else o.dimension(name)
-    query(f"dim_{name}", sql)(lambda spark, sf: prepared(spark, sf).select("doc_id", F.round(features.registry()[name](Settings()), 6).alias(name)))
+    query(f"dim_{name}", sql)(lambda spark, sf: features.dimension(prepared(spark, sf), name).select("doc_id", F.round(name, 6).alias(name)))
 
 
 for _d in DIMENSIONS:
@@ -90,7 +90,7 @@ for _d in DIMENSIONS:
 
 @query("dim_lexical_academic", o.dimension("lexical_markers", "academic"))
 def lexical_academic(spark: SparkSession, sf: str) -> DataFrame:
-    return prepared(spark, sf).select("doc_id", F.round(features.registry()["lexical_markers"](Settings(profile="academic")), 6).alias("lexical_markers"))
+    return features.dimension(prepared(spark, sf), "lexical_markers", Settings(profile="academic")).select("doc_id", F.round("lexical_markers", 6).alias("lexical_markers"))
 
 
 @query("gate_notes", f"{o.scores()} SELECT doc_id, n_elevated, {' || '.join(f'CASE WHEN {d} > 0.5 AND n_elevated = 1 THEN {chr(39)}{d}{chr(39)} ELSE {chr(39)}{chr(39)} END' for d in o.WEAK)} AS damped FROM s")
