@@ -5,7 +5,7 @@ from __future__ import annotations
 from plumbline.functions import features as f
 from plumbline.functions.text import ABBREVIATION, INNER_STOP, PIECE
 from plumbline.plans.planted import PLANTED_SQL, q
-from plumbline.rules import LEXICON, REWRITES, RULES, SEVERITIES, Rule, pack
+from plumbline.rules import CODED, EM_DASH, LEXICON, PARTICIPLE, REWRITES, RULES, SEVERITIES, TRICOLON, Rule, pack
 from plumbline.settings import BIAS, DIMENSIONS, ELEVATED, GAINS, HUMAN, LONE_WEAK, MODEL, MODEL_A, MODEL_B, MODEL_BIAS, PROFILES, WEAK, WEIGHTS
 
 _WORDS = "len(regexp_extract_all({0}, '\\S+'))"
@@ -26,7 +26,9 @@ def count(regex: str, text: str = "t") -> str:
 def rule(r: Rule) -> str:
     if r.rule_id in _RE2:
         base, less = _RE2[r.rule_id]
-        return f"({count(base)}{f' - {count(less)}' if less else ''})"
+        # a stop that ends one slogan may stand before the next, so stops are doubled
+        text = "regexp_replace(t, '([.!?:])(\\s)', '\\1\\2\\1\\2', 'g')" if r.rule_id == "PARALLEL_X_NOT_Y" else "t"
+        return f"({count(base, text)}{f' - {count(less)}' if less else ''})"
     return count(f"(?im){r.regex}")
 
 
@@ -140,19 +142,66 @@ def scores(profile: str = "blog", strictness: str = "conservative", scorer: str
         round_even(CASE WHEN w < 100 THEN 0.25 WHEN w < 300 THEN 0.6 WHEN w < 1000 THEN 0.85 ELSE 1 END::DOUBLE * CASE WHEN language <> 'en' THEN 0.5 WHEN lc < 0.7 THEN 0.8 ELSE 1 END, 3) AS confidence FROM e3)"""
 
 
-def matches(rules: list[Rule], cte: str = "ev") -> str:
-    """CTE of all matches (doc_id, rule_id, dimension, severity, start_char, end_char, span) of plain rules, in original offsets."""
-    rows = ", ".join(f"({q(r.rule_id)}, {q(r.dimension)}, {q(r.severity)}, {q('(?im)' + r.regex)})" for r in rules if not r.look_around)
+def _meta(order: int, rule_id: str, dimension: str, severity: str, regex: str) -> str:
+    return f"({order}, {q(rule_id)}, {q(dimension)}, {q(severity)}, {q(regex)})"
+
+
+#: What follows an unsupported claim that has a source after all.
+_CITED = r"(?i)^[^.?!]{0,80}?(?:et al|https?://|\(\d{4}|\[)"
+_SLOGAN = r"(?i)^[A-Z][^.?!,;:]{1,30},\s+not\s+[^.?!,;:]{1,30}[.!?]"
+_TRICOLON = r"([\p{L}\p{N}_]+), ([\p{L}\p{N}_]+),? and ([\p{L}\p{N}_]+)"
+
+
+def matches(rules: list[Rule] | None = None, cte: str = "ev") -> str:
+    """CTE of all matches (doc_id, ord, n, rule_id, dimension, severity, start_char, end_char, span) in original offsets: of these rules, or of all there are.
+
+    Look-around is said by what stands before or after a match; clauses and threes are kept by a look at their parts.
+    """
+    everything = rules is None
+    at = {d: k * 1000 for k, d in enumerate(DIMENSIONS)}
+    known = list(enumerate(RULES)) if everything else list(enumerate(rules))
+    rows = [_meta(at.get(r.dimension, 14_000) + k, r.rule_id, r.dimension, r.severity, "(?im)" + _RE2.get(r.rule_id, (r.regex,))[0].removeprefix("(?im)")) for k, r in known if r.rule_id != "PARALLEL_X_NOT_Y"]
+    extra = ""
+    if everything:
+        for k, c in enumerate(LEXICON):
+            rows.append(_meta(at["lexical_markers"] + k, c.rule_id, "lexical_markers", c.severity, rf"(?i)\b(?:{'|'.join(sorted(c.terms, key=lambda t: (-len(t), t)))})\b"))
+        rows.append(_meta(at["superficial_analysis"], PARTICIPLE, "superficial_analysis", CODED[PARTICIPLE][1], f.PARTICIPLE))
+        rows.append(_meta(at["parallelism"] + 900, TRICOLON, "parallelism", CODED[TRICOLON][1], _TRICOLON))
+        slogan = next((k, r) for k, r in known if r.rule_id == "PARALLEL_X_NOT_Y")
+        dash = f"least(coalesce(nullif(strpos(t, '—'), 0), 2147483647), coalesce(nullif(strpos(t, '–'), 0), 2147483647)) - 1"
+        extra = f"""
+    UNION ALL SELECT doc_id, original, t, gone, {at['formatting_tells']} AS ord, {q(EM_DASH)}, 'formatting_tells', {q(CODED[EM_DASH][1])}, 0 AS n, {dash} AS a, 1 AS len FROM gn WHERE {count(f.DASH)} >= 2
+    UNION ALL SELECT doc_id, original, t, gone, {at['parallelism'] + slogan[0]} AS ord, {q(slogan[1].rule_id)}, 'parallelism', {q(slogan[1].severity)}, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1, a, len(regexp_extract(substring(t, a::INT + 1), {q(_SLOGAN)})) FROM
+        (SELECT *, unnest(range(0, len(t))) AS a FROM gn WHERE regexp_matches(t, '(?i)not'))
+        WHERE (a = 0 OR substring(t, a::INT, 1) = E'\\n' OR regexp_matches(substring(t, a::INT - 1, 2), '^(?:[.!?:]\\s|\\*\\*)$') AND a > 1) AND regexp_matches(substring(t, a::INT + 1), {q(_SLOGAN)})"""
+    one = lambda k: f"(CASE WHEN len(regexp_extract(m, {q(_TRICOLON)}, {k})) > 4 AND regexp_matches(lower(regexp_extract(m, {q(_TRICOLON)}, {k})), {q(f.ABSTRACT)}) THEN 1 ELSE 0 END)"
+    vague = f"lower(regexp_extract(m, {q(f.PARTICIPLE)}, 1)) IN {_list(f.ANALYSIS)} OR list_has_any(string_split_regex(lower(regexp_extract(m, {q(f.PARTICIPLE)}, 2)), '[^a-z]+'), [{', '.join(map(q, f.VAGUE))}])"
+    keep = f"""CASE rule_id WHEN {q(PARTICIPLE)} THEN {vague} WHEN {q(TRICOLON)} THEN {one(1)} + {one(2)} + {one(3)} >= 2
+        WHEN 'CLAIM_AUTHORITY_NO_CITATION' THEN NOT regexp_matches(substring(t, (a + len)::INT + 1), {q(_CITED)}) ELSE true END"""
     parts = "regexp_extract_all(original, E'\\r\\n|[ \\t]{2,}')"
     gaps = "string_split_regex(original, E'\\r\\n|[ \\t]{2,}')"
-    return f"""rl(rule_id, dimension, severity, regex) AS (VALUES {rows}),
-    gn AS (SELECT doc_id, original, t, list_transform(range(1, len({parts}) + 1), lambda i: {{'at': coalesce(list_sum(list_transform(({gaps})[1:i], lambda g: len(g))), 0) + i - 1, 'extra': len(({parts})[i]) - 1}}) AS gone FROM d),
-    m0 AS MATERIALIZED (SELECT doc_id, original, t, gone, rule_id, dimension, severity, regexp_extract_all(t, regex) AS ms, string_split_regex(t, regex) AS gs FROM gn, rl WHERE regexp_matches(t, regex)),
+    return f"""rl(ord, rule_id, dimension, severity, regex) AS (VALUES {', '.join(rows)}),
+    gn AS MATERIALIZED (SELECT doc_id, original, t, list_transform(range(1, len({parts}) + 1), lambda i: {{'at': coalesce(list_sum(list_transform(({gaps})[1:i], lambda g: len(g))), 0) + i - 1, 'extra': len(({parts})[i]) - 1}}) AS gone FROM d),
+    m0 AS MATERIALIZED (SELECT doc_id, original, t, gone, ord, rule_id, dimension, severity, regexp_extract_all(t, regex) AS ms, string_split_regex(t, regex) AS gs FROM gn, rl WHERE regexp_matches(t, regex)),
     m1 AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m0),
-    m2 AS (SELECT *, coalesce(list_sum(list_transform(gs[1:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: len(g))), 0) AS a, len(ms[i]) AS n FROM m1),
-    m3 AS (SELECT *, a + coalesce(list_sum(list_transform(list_filter(gone, lambda g: g.at < a), lambda g: g.extra)), 0) AS s0, a + n + coalesce(list_sum(list_transform(list_filter(gone, lambda g: g.at < a + n - 1), lambda g: g.extra)), 0) AS e0 FROM m2),
-    {cte} AS MATERIALIZED (SELECT doc_id, original, rule_id, dimension, severity, s0::INT AS start_char, e0::INT AS end_char, substring(original, s0::INT + 1, (e0 - s0)::INT) AS span FROM m3)"""
+    m2 AS (SELECT *, coalesce(list_sum(list_transform(gs[1:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: len(g))), 0) AS a, len(ms[i]) AS len, ms[i] AS m FROM m1),
+    mk AS (SELECT doc_id, original, t, gone, ord, rule_id, dimension, severity, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY i) - 1 AS n, a, len FROM m2 WHERE {keep}{extra}),
+    m3 AS (SELECT *, a + coalesce(list_sum(list_transform(list_filter(gone, lambda g: g.at < a), lambda g: g.extra)), 0) AS s0, a + len + coalesce(list_sum(list_transform(list_filter(gone, lambda g: g.at < a + len - 1), lambda g: g.extra)), 0) AS e0 FROM mk),
+    {cte} AS MATERIALIZED (SELECT doc_id, original, ord, n, rule_id, dimension, severity, s0::INT AS start_char, e0::INT AS end_char, substring(original, s0::INT + 1, (e0 - s0)::INT) AS span FROM m3)"""
+
+
+#: CTEs up to rg(doc_id, s, e, names): the ranges that control comments silence. Lines, blocks and files are read off the text.
+SUPPRESSION = r"""
+    c0 AS (SELECT doc_id, original, regexp_extract_all(original, '(?i)<!--\s*plumbline-(?:disable-file|disable-line|disable-next-line|disable|enable)\b[^>]*?-->') AS ms, string_split_regex(original, '(?i)<!--\s*plumbline-(?:disable-file|disable-line|disable-next-line|disable|enable)\b[^>]*?-->') AS gs FROM d),
+    c1 AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM c0),
+    c2 AS (SELECT doc_id, original, i, ms[i] AS m, (list_sum(list_transform(gs[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: len(g))), 0))::INT AS s FROM c1),
+    c3 AS (SELECT doc_id, original, i, s, s + len(m) AS e, lower(regexp_extract(m, '(?i)plumbline-([a-z-]+)', 1)) AS kind, list_filter(string_split_regex(regexp_extract(m, '(?i)plumbline-(?:disable-file|disable-line|disable-next-line|disable|enable)\b([^>]*?)-->', 1), '[,\s]+'), lambda x: x <> '') AS names FROM c2),
+    c4 AS MATERIALIZED (SELECT *, s - len(list_last(string_split(substring(original, 1, s), chr(10)))) AS line, s + len(string_split(substring(original, s + 1), chr(10))[1]) AS stop, len(original) AS size FROM c3),
+    rg AS MATERIALIZED (
+        SELECT doc_id, s, size AS e, names FROM c4 WHERE kind = 'disable-file' UNION ALL SELECT doc_id, line, stop, names FROM c4 WHERE kind = 'disable-line'
+        UNION ALL SELECT doc_id, CASE WHEN stop < size THEN stop + 1 ELSE 0 END, CASE WHEN stop < size THEN stop + 1 + len(string_split(substring(original, stop::INT + 2), chr(10))[1]) ELSE 0 END, names FROM c4 WHERE kind = 'disable-next-line'
+        UNION ALL SELECT a.doc_id, a.e, coalesce(min(b.s), any_value(a.size)), any_value(a.names) FROM c4 a LEFT JOIN c4 b ON a.doc_id = b.doc_id AND b.i > a.i AND b.kind = 'enable' AND (len(b.names) = 0 OR list_has_any(b.names, a.names)) WHERE a.kind = 'disable' GROUP BY a.doc_id, a.i, a.e)"""
+QUIET = "EXISTS (SELECT 1 FROM rg WHERE rg.doc_id = ev.doc_id AND rg.s <= ev.start_char AND ev.start_char < rg.e AND (len(rg.names) = 0 OR list_contains(rg.names, ev.rule_id) OR list_contains(rg.names, ev.dimension)))"
 
 
-PLAIN = [r for r in RULES if not r.look_around]
 REWRITE_RULES = [r.rule for r in REWRITES]

@@ -18,6 +18,8 @@ SNIPPETS = [
     "<!-- plumbline-disable WEASEL_INDUSTRY_REPORTS -->\nIndustry reports differ. <!-- plumbline-enable -->Industry reports agree.",
     "It marks a pivotal moment. It plays a crucial role. It plays a vital role. Moreover, it reflects its broader legacy.",
     "The tool reads the file. The tool reads the file. The tool reads the file again. Nothing else happens here today.",
+    "<!-- plumbline-disable-next-line CLAIM_EVERYONE_KNOWS -->\nEveryone knows that it rains. Experts argue.\nEveryone knows that it snows. A plan, not a promise. Love, not war.",
+    "<!-- plumbline-disable-file lexical_markers, BOGUS_NAME --> A robust, holistic paradigm: crucial, vital and seamless. Movement, development, and innovation. Research shows that it works (Lee et al).",
     "Is this a choice? So what does that mean? Sound familiar? What if I told you the answer is simple?",
 ]
 

@@ -13,7 +13,6 @@ from plumbline.functions.scoring import contributions, score
 from plumbline.operators import baseline, batch, calibrate, evaluate, evidence, suppress, training
 from plumbline.plans import oracle as o
 from plumbline.plans.planted import PLANTED_SQL, planted
-from plumbline.rules import RULES
 from plumbline.settings import DIMENSIONS, Settings
 from plumbline.sinks import reports
 from plumbline.sources import prose
@@ -21,7 +20,6 @@ from plumbline.sources import prose
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-NO_LOOK = Settings(disabled_rules=frozenset(r.rule_id for r in RULES if r.look_around), disabled_dimensions=frozenset({"formatting_tells", "superficial_analysis", "lexical_markers"}))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -107,31 +105,24 @@ def dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return score(planted(spark, sf)).select("doc_id", *(F.round(d, 6).alias(d) for d in DIMENSIONS))
 
 
-@query("model_contributions", f"{o.scores()} SELECT doc_id, {', '.join(f'round({w}::DOUBLE * {d}, 3) + 0 AS {d}' for d, w in o.MODEL.items() if w)} FROM s")
+@query("model_contributions", f"{o.scores()} SELECT doc_id, {', '.join(f'round_even({w}::DOUBLE * {d}, 4) + 0 AS {d}' for d, w in o.MODEL.items())} FROM s")
 def model_contributions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = score(planted(spark, sf)).withColumn("c", contributions())
-    return rows.select("doc_id", *((F.round(F.lit(w) * F.col(d), 3) + 0).alias(d) for d, w in o.MODEL.items() if w))
+    rows = score(planted(spark, sf)).select("doc_id", contributions().alias("c"))
+    return rows.select("doc_id", *((F.col("c")[d] + 0).alias(d) for d in o.MODEL))
 
 
 _FOUND = ["doc_id", "rule_id", "severity", "start_char", "end_char", "span"]
-_EV = f"{o.cleaned()}, {o.matches([r for r in o.PLAIN])}"
-#: What the control comments of the planted sentences silence.
-_QUIET = """NOT (ev.rule_id IN ('FORMULAIC_WHEN_IT_COMES_TO', 'FORMULAIC_MORE_THAN_JUST') AND EXISTS (SELECT 1 FROM d WHERE d.doc_id = ev.doc_id AND contains(d.original, 'plumbline-disable-line')))
-    AND NOT (ev.rule_id = 'WEASEL_INDUSTRY_REPORTS' AND contains(original, 'plumbline-disable WEASEL') AND start_char < strpos(original, '<!-- plumbline-enable'))"""
+#: All findings that no control comment silences, as k.
+_EV = f"{o.cleaned()}, {o.matches()}, {o.SUPPRESSION}, k AS MATERIALIZED (SELECT * FROM ev WHERE NOT {o.QUIET})"
 
 
-def _find(spark: SparkSession, sf: str, settings: Settings = NO_LOOK) -> DataFrame:
-    return evidence.findings(prepared(spark, sf), settings).where("rule_id <> 'PARALLEL_RULE_OF_THREE'")
+def _find(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.findings(prepared(spark, sf))
 
 
-@query("evidence", f"{_EV} SELECT {', '.join(_FOUND)} FROM ev WHERE {_QUIET}")
+@query("evidence", f"{_EV} SELECT {', '.join(_FOUND)}, (row_number() OVER (PARTITION BY doc_id ORDER BY start_char, ord, n) - 1)::INT AS ordinal FROM k")
 def evidence_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return _find(spark, sf).select(*_FOUND)
-
-
-@query("evidence_all_rules")
-def evidence_all(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.findings(prepared(spark, sf)).select("ordinal", *_FOUND)
+    return _find(spark, sf).select(*_FOUND, "ordinal")
 
 
 @query("suggestions", f"{o.cleaned()}, {o.matches(o.REWRITE_RULES)} SELECT {', '.join(_FOUND)} FROM ev")
@@ -143,29 +134,29 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
 _LINE = "1 + len(regexp_extract_all(substring(original, 1, start_char), E'\\n'))"
 
 
-@query("line_col", f"{_EV} SELECT doc_id, rule_id, start_char, ({_LINE})::INT AS line, (1 + start_char - (CASE WHEN contains(substring(original, 1, start_char), E'\\n') THEN start_char - strpos(reverse(substring(original, 1, start_char)), E'\\n') + 1 ELSE 0 END))::INT AS col FROM ev WHERE {_QUIET}")
+@query("line_col", f"{_EV} SELECT doc_id, rule_id, start_char, ({_LINE})::INT AS line, (1 + start_char - (CASE WHEN contains(substring(original, 1, start_char), E'\\n') THEN start_char - strpos(reverse(substring(original, 1, start_char)), E'\\n') + 1 ELSE 0 END))::INT AS col FROM k")
 def line_col(spark: SparkSession, sf: str) -> DataFrame:
-    docs = prepared(spark, sf)
-    rows = evidence.with_evidence(docs, NO_LOOK).select("doc_id", "original", F.explode_outer("evidence").alias("e")).where("e.rule_id <> 'PARALLEL_RULE_OF_THREE'")
+    rows = evidence.with_evidence(prepared(spark, sf)).select("doc_id", "original", F.explode_outer("evidence").alias("e")).where("e is not null")
     at = T.line_and_column(F.col("original"), F.col("e.start_char"))
     return rows.select("doc_id", "e.rule_id", "e.start_char", at["line"].alias("line"), at["col"].alias("col"))
 
 
-@query("suppressed", "SELECT doc_id, CASE WHEN contains(text, 'disable-line') THEN 1 WHEN contains(text, 'disable WEASEL') THEN 1 ELSE 0 END AS ranges FROM planted".join([f"WITH {PLANTED_SQL} ", ""]))
+@query("suppressed", f"{o.cleaned()}, {o.SUPPRESSION} SELECT doc_id, s::INT AS start, e::INT AS stop, array_to_string(names, ' ') AS names FROM rg")
 def suppressed(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("original")
-    return prepared(spark, sf).select("doc_id", F.size(suppress.ranges(text, suppress.comments(text, "plumbline"))).alias("ranges"))
+    rows = prepared(spark, sf).select("doc_id", F.explode_outer(suppress.ranges(text, suppress.comments(text, "plumbline"))).alias("r")).where("r is not null")
+    return rows.select("doc_id", "r.start", F.col("r.end").alias("stop"), F.array_join("r.names", " ").alias("names"))
 
 
 _PRINT = "sha256(doc_id::VARCHAR || chr(0) || rule_id || chr(0) || span)"
 
 
-@query("fingerprints", f"{_EV} SELECT DISTINCT {_PRINT} AS fingerprint FROM ev WHERE {_QUIET}")
+@query("fingerprints", f"{_EV} SELECT DISTINCT {_PRINT} AS fingerprint FROM k")
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.build(_find(spark, sf))
 
 
-@query("new_findings", f"{_EV}, ok AS (SELECT * FROM ev WHERE {_QUIET}) SELECT doc_id, rule_id, {_PRINT} AS fingerprint FROM ok WHERE NOT EXISTS (SELECT 1 FROM ok k WHERE k.doc_id = ok.doc_id AND k.rule_id = ok.rule_id AND k.span = ok.span AND k.severity = 'low')")
+@query("new_findings", f"{_EV}, ok AS (SELECT * FROM k) SELECT doc_id, rule_id, {_PRINT} AS fingerprint FROM ok WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = ok.doc_id AND k.rule_id = ok.rule_id AND k.span = ok.span AND k.severity = 'low')")
 def new_findings(spark: SparkSession, sf: str) -> DataFrame:
     found = _find(spark, sf)
     return baseline.new(found, baseline.build(found.where("severity = 'low'"))).select("doc_id", "rule_id", "fingerprint")
@@ -176,7 +167,7 @@ def batch_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return batch.by_label(score(planted(spark, sf)))
 
 
-@query("batch_by_severity", f"{_EV} SELECT severity, count(*) AS n FROM ev WHERE {_QUIET} GROUP BY severity")
+@query("batch_by_severity", f"{_EV} SELECT severity, count(*) AS n FROM k GROUP BY severity")
 def batch_by_severity(spark: SparkSession, sf: str) -> DataFrame:
     return batch.by_severity(_find(spark, sf))
 
@@ -186,14 +177,14 @@ def worst(spark: SparkSession, sf: str) -> DataFrame:
     return batch.worst(score(planted(spark, sf)))
 
 
-@query("max_severity", f"{_EV} SELECT max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS max_rank FROM ev WHERE {_QUIET}")
+@query("max_severity", f"{_EV} SELECT max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS max_rank FROM k")
 def max_severity(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.max_severity(_find(spark, sf))
 
 
-@query("rule_metadata")
+@query("rule_metadata", f"{_EV} SELECT rule_id, any_value(severity) AS severity, count(*) AS n FROM k GROUP BY rule_id")
 def rule_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return batch.rule_metadata(evidence.findings(prepared(spark, sf)))
+    return batch.rule_metadata(evidence.findings(prepared(spark, sf))).select("rule_id", "severity", "n")
 
 
 _LONG = " UNION ALL ".join(f"SELECT doc_id, w, '{d}' AS dimension, {d} AS value FROM s" for d in DIMENSIONS)
@@ -207,7 +198,7 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("dimension", "n_docs", *(F.round(c, 5).alias(c) for c in ("mean", "std", "median", "mad")))
 
 
-@query("zscores")
+@query("zscores", f"""{_PROFILE} SELECT v.doc_id, v.dimension, round(CASE WHEN std <= 1e-9 THEN CASE WHEN abs(value - mean) <= 1e-6 THEN 0 ELSE 3 * sign(value - mean) END ELSE greatest(-3.0::DOUBLE, least(3.0::DOUBLE, (value - mean) / CASE WHEN std > 1e-9 THEN std END)) END, 2) + 0 AS z FROM v JOIN p0 USING (dimension)""")
 def zscores(spark: SparkSession, sf: str) -> DataFrame:
     scored = score(planted(spark, sf)).select("doc_id", "w", *DIMENSIONS)
     return calibrate.deviations(scored, calibrate.profile(scored))
@@ -220,8 +211,8 @@ def _labelled(spark: SparkSession, sf: str, settings: Settings | None = None) ->
     return rows.join(labels, "doc_id")
 
 
-def _eval_sql(strictness: str = "conservative") -> str:
-    return f"{o.scores(strictness=strictness)}, ev AS MATERIALIZED (SELECT s.doc_id, documents.lang AS subgroup, slop_score AS score, abstained, 1 - quality AS label FROM s JOIN documents USING (doc_id) JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
+def _eval_sql(strictness: str = "conservative", scorer: str = "rules") -> str:
+    return f"{o.scores(strictness=strictness, scorer=scorer)}, ev AS MATERIALIZED (SELECT s.doc_id, documents.lang AS subgroup, slop_score AS score, abstained, 1 - quality AS label FROM s JOIN documents USING (doc_id) JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 
 
 _CURVE = "c0 AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM ev GROUP BY score), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS pa, sum(neg) OVER () AS na FROM c0 WINDOW w AS (ORDER BY score DESC))"
@@ -262,26 +253,49 @@ def subgroups(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.subgroups(_labelled(spark, sf))
 
 
-@query("promotion_gate")
+def _gate_sql() -> str:
+    """Both scorers' true positive rates at 1 % false ones, and each language's false positives, side by side."""
+    parts = []
+    for name, scorer in (("old", "rules"), ("new", "ml")):
+        ev = _eval_sql(scorer=scorer).removeprefix("WITH ")
+        parts.append(f"""{name}_t AS (WITH {ev}, {_CURVE} SELECT round(coalesce(max(tp / pa) FILTER (fp / na <= 0.01), 0), 6) AS {name}_tpr FROM c),
+        {name}_g AS (WITH {ev} SELECT subgroup, round(coalesce(avg((score >= 50)::INT) FILTER (label = 0), 0), 6) AS {name}_fpr FROM ev GROUP BY subgroup)""")
+    fair = "SELECT coalesce(bool_and(new_fpr <= coalesce(old_fpr, new_fpr) + 0.02), true) AS fair FROM new_g LEFT JOIN old_g USING (subgroup)"
+    return f"WITH {', '.join(parts)} SELECT old_tpr, new_tpr, fair, new_tpr >= old_tpr - 0.02 AND fair AS promote FROM old_t, new_t, ({fair})"
+
+
+@query("promotion_gate", _gate_sql())
 def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.promotion(_labelled(spark, sf), _labelled(spark, sf, Settings(scorer="ml")))
 
 
 @query("fairness_rules", f"""{_EV}, cl AS (SELECT doc_id, documents.lang AS subgroup FROM documents JOIN labels USING (doc_id) WHERE quality = 1), n AS (SELECT subgroup, count(*) AS n_docs FROM cl GROUP BY subgroup),
-    f AS (SELECT DISTINCT doc_id, rule_id FROM ev WHERE {_QUIET}) SELECT subgroup, rule_id, count(*) AS docs, round(count(*) / any_value(n_docs), 6) AS rate, round(count(*) / any_value(n_docs), 6) > 0.2 AS flagged FROM f JOIN cl USING (doc_id) JOIN n USING (subgroup) GROUP BY subgroup, rule_id""")
+    f AS (SELECT DISTINCT doc_id, rule_id FROM k) SELECT subgroup, rule_id, count(*) AS docs, round(count(*) / any_value(n_docs), 6) AS rate, round(count(*) / any_value(n_docs), 6) > 0.2 AS flagged FROM f JOIN cl USING (doc_id) JOIN n USING (subgroup) GROUP BY subgroup, rule_id""")
 def fairness_rules(spark: SparkSession, sf: str) -> DataFrame:
     clean = planted(spark, sf).join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id", F.col("lang").alias("subgroup"))
     return evaluate.rule_rates(_find(spark, sf), clean)
 
 
-@query("span_iou", f"""{o.cleaned()}, {o.matches([r for r in o.PLAIN if r.dimension == 'weasel_attribution'])} SELECT a.doc_id, a.rule_id, b.rule_id AS other, count(*) AS pairs FROM ev a JOIN ev b ON a.doc_id = b.doc_id AND a.start_char < b.end_char AND b.start_char < a.end_char GROUP BY ALL""")
+@query("span_iou", f"""{_EV}, x AS (SELECT a.doc_id, a.rule_id, b.rule_id AS other, least(a.end_char, b.end_char) - greatest(a.start_char, b.start_char) AS shared, a.end_char - a.start_char + b.end_char - b.start_char AS total FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.start_char < b.end_char AND b.start_char < a.end_char)
+    SELECT doc_id, rule_id, other, count(*) AS pairs, round(max(shared / (total - shared)), 6) AS iou FROM x GROUP BY ALL""")
 def span_iou(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping pairs, document by document: an array of a few findings against itself rather than a range join."""
-    only = frozenset(d for d in DIMENSIONS if d != "weasel_attribution")
-    rows = evidence.with_evidence(prepared(spark, sf), Settings(disabled_dimensions=only, comment_prefix="none")).select("doc_id", "evidence")
+    rows = evidence.with_evidence(prepared(spark, sf)).select("doc_id", "evidence")
     rows = rows.select("doc_id", F.explode_outer("evidence").alias("a"), "evidence").select("doc_id", "a", F.explode_outer("evidence").alias("b"))
     rows = rows.where("a.start_char < b.end_char and b.start_char < a.end_char")
-    return rows.groupBy("doc_id", F.col("a.rule_id").alias("rule_id"), F.col("b.rule_id").alias("other")).agg(F.count(F.lit(1)).alias("pairs"))
+    shared = evaluate.iou(F.col("a.start_char"), F.col("a.end_char"), F.col("b.start_char"), F.col("b.end_char"))
+    return rows.groupBy("doc_id", F.col("a.rule_id").alias("rule_id"), F.col("b.rule_id").alias("other")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max(shared), 6).alias("iou"))
+
+
+@query("span_match", f"""{_EV}, g AS (SELECT *, CASE WHEN span = lower(span) THEN 1 ELSE 0 END AS exact FROM (SELECT DISTINCT doc_id, start_char, end_char, span FROM k)) SELECT doc_id, sum(exact)::INT AS matched, round(avg(exact), 6) AS precision, round(avg(exact), 6) AS recall FROM g GROUP BY doc_id""")
+def span_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Found spans against themselves, those with capitals one character longer."""
+    rows = evidence.with_evidence(prepared(spark, sf)).select("doc_id", F.array_distinct(F.transform("evidence", lambda e: F.struct(e["start_char"].alias("start"), e["end_char"].alias("end"), e["span"].alias("span")))).alias("e"))
+    rows = rows.where(F.size("e") > 0)
+    one = lambda e, more: F.struct(e["start"].alias("start"), (e["end"] + more).alias("end"))
+    rows = rows.select("doc_id", F.transform("e", lambda e: one(e, F.lit(0))).alias("pred"), F.transform("e", lambda e: one(e, F.when(e["span"] == F.lower(e["span"]), 0).otherwise(100_000))).alias("gold"))
+    out = evaluate.span_match(rows)
+    return out.select("doc_id", "matched", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query("json_strings", "SELECT event_id, string_agg(v, E'\\n\\n' ORDER BY k) AS prose FROM (SELECT event_id, unnest(json_keys(props)) AS key, generate_subscripts(json_keys(props), 1) AS k, json_extract(props, '$.' || key) AS j, json_extract_string(props, '$.' || key) AS v FROM events) WHERE json_type(j) = 'VARCHAR' GROUP BY event_id UNION ALL SELECT event_id, '' FROM events WHERE len(list_filter(json_keys(props), lambda k: json_type(json_extract(props, '$.' || k)) = 'VARCHAR')) = 0")

@@ -86,3 +86,34 @@ def test_similarity_against_plain_arithmetic():
     a, b = adjacent_similarity(["red cat", "red cat", "dog"])
     assert math.isclose(a, 1.0) and b == 0.0
     assert adjacent_similarity(["!", "?"]) == [0]
+
+
+def test_one_pass_is_what_the_columns_say(spark):
+    """Every dimension by the one pass over batches and by its own expression, on planted texts and odd ones."""
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import features
+    from plumbline.plans.planted import planted
+
+    odd = ["", None, "...", "A, not b.", "été, Élan vital; Über alles. ", "x—y—z, “q” ‘r’", "One. One. Two? Two!", "the ship, the crew, and the innovation, movement and development", "See 12.5, 1999 and $4 at http://x.y/z. Dr. Who said: Paris is, Of course"]
+    extra = spark.createDataFrame([(10_000 + i, t, "en", "x") for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string")
+    docs = planted(spark, "/root/testdata/sf0.001").unionByName(extra)
+    for settings in (Settings(), Settings(profile="academic", repair=False)):
+        prepared = features.prepare(docs, settings)
+        want = {r.doc_id: r for r in prepared.select("doc_id", *(F.coalesce(features.registry()[d](settings), F.lit(0.0)).alias(d) for d in DIMENSIONS)).collect()}
+        for r in features.dimensions(prepared, settings).select("doc_id", *DIMENSIONS).collect():
+            for d in DIMENSIONS:
+                assert math.isclose(r[d], want[r.doc_id][d], rel_tol=1e-9, abs_tol=1e-9), (r.doc_id, d, r[d], want[r.doc_id][d])
+
+
+def test_a_registered_dimension_replaces_the_usual_one(spark, docs):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import features
+
+    usual = features.registry()["genericity"]
+    try:
+        features.register("genericity")(lambda settings: F.lit(0.25))
+        assert {r.genericity for r in score(docs).select("genericity").collect()} == {0.25}
+    finally:
+        features.register("genericity")(usual)
