@@ -47,7 +47,7 @@ def composition(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first row of each text, by a map-side reduction rather than a sort of all repetitions."""
+    """The first row of each text, by a map-side reduction rather than a sort of all repetitions; digests stand for the texts."""
     columns = rows.columns
     first = F.min_by(F.struct(*columns), F.col(order)).alias("r")
-    return rows.groupBy(F.col(text).alias("_key")).agg(first).select(*(F.col(f"r.`{c}`").alias(c) for c in columns))
+    return rows.groupBy(F.sha2(text, 256).alias("_key")).agg(first).select(*(F.col(f"r.`{c}`").alias(c) for c in columns))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.stored import stored
+
 FLAGGED = 50.0
 
 
@@ -96,7 +98,8 @@ def rule_rates(findings: DataFrame, clean: DataFrame, group: str = "subgroup", f
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """All single-number metrics in one row."""
+    """All single-number metrics in one row. The rows are computed once."""
+    rows = stored(rows.select("label", "score", "abstained"))
     out = auroc(rows)
     for part in (pr_auc(rows), tpr_at_fpr(rows), ece(rows), brier(rows), risk_coverage(rows)):
         out = out.crossJoin(part)
@@ -105,6 +108,7 @@ def metrics(rows: DataFrame) -> DataFrame:
 
 def promotion(old: DataFrame, new: DataFrame, group: str = "subgroup", tolerance: float = 0.02) -> DataFrame:
     """Whether new scores may replace the old: no worse in TPR at 1 % FPR, nor in any group's FPR, beyond the tolerance."""
+    old, new = (stored(x.select("label", "score", "abstained", group)) for x in (old, new))
     a, b = tpr_at_fpr(old).select(F.col("tpr_at_01").alias("old_tpr")), tpr_at_fpr(new).select(F.col("tpr_at_01").alias("new_tpr"))
     before = subgroups(old, group).select(group, F.col("fpr").alias("old_fpr"))
     worse = subgroups(new, group).join(before, group, "left").agg(F.coalesce(F.bool_and(F.col("fpr") <= F.coalesce("old_fpr", "fpr") + tolerance), F.lit(True)).alias("fair"))

@@ -11,6 +11,7 @@ from plumbline.functions import features
 from plumbline.functions import text as T
 from plumbline.functions.scoring import contributions, score
 from plumbline.operators import baseline, batch, calibrate, evaluate, evidence, suppress, training
+from plumbline.operators.stored import stored
 from plumbline.plans import oracle as o
 from plumbline.plans.planted import PLANTED_SQL, planted
 from plumbline.settings import DIMENSIONS, Settings
@@ -200,7 +201,7 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("zscores", f"""{_PROFILE} SELECT v.doc_id, v.dimension, round(CASE WHEN std <= 1e-9 THEN CASE WHEN abs(value - mean) <= 1e-6 THEN 0 ELSE 3 * sign(value - mean) END ELSE greatest(-3.0::DOUBLE, least(3.0::DOUBLE, (value - mean) / CASE WHEN std > 1e-9 THEN std END)) END, 2) + 0 AS z FROM v JOIN p0 USING (dimension)""")
 def zscores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = score(planted(spark, sf)).select("doc_id", "w", *DIMENSIONS)
+    scored = stored(score(planted(spark, sf)).select("doc_id", "w", *DIMENSIONS))
     return calibrate.deviations(scored, calibrate.profile(scored))
 
 
