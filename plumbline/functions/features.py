@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plumbline.functions import language
 from plumbline.functions import text as T
 from plumbline.rules import LEXICON, SEVERITIES, Rule, pack
 from plumbline.settings import DIMENSIONS, Settings
@@ -69,8 +70,8 @@ def registry() -> dict[str, Builder]:
 def prepare(docs: DataFrame, settings: Settings | None = None, text: str = "text", fences: bool = True) -> DataFrame:
     """docs with the columns of PREPARED, ``original`` (what offsets of findings index), ``language`` and its confidence.
 
-    A ``lang`` column is believed; else the language is taken as English. Texts of under 20 words count as English
-    with confidence 0.5. Null texts are empty. Columns of docs with these names are replaced.
+    A ``lang`` column is believed where it says something; else the language is detected by common words. Texts of under
+    20 words count as English with confidence 0.5. Null texts are empty. Columns of docs with these names are replaced.
     """
     settings = settings or Settings()
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -78,13 +79,10 @@ def prepare(docs: DataFrame, settings: Settings | None = None, text: str = "text
     docs = docs.withColumn("original", T.canonical(raw) if settings.repair else raw)
     docs = docs.withColumn("t", T.clean(F.col("original")))
     docs = docs.withColumns({"low": F.lower("t"), "w": T.word_count(F.col("t")), "sents": T.sentences(F.col("t"))})
-    lang = F.coalesce(F.lower(F.col("lang")), F.lit("en")) if "lang" in docs.columns else F.lit("en")
-    return docs.withColumns(
-        {
-            "language": F.when(F.col("w") < 20, F.lit("en")).otherwise(lang),
-            "language_confidence": F.when(F.col("w") < 20, F.lit(0.5)).otherwise(F.lit(1.0)),
-        }
-    )
+    given = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    short, known = F.struct(F.lit("en").alias("code"), F.lit(0.5).alias("confidence")), F.struct(F.lower(given).alias("code"), F.lit(1.0).alias("confidence"))
+    docs = docs.withColumn("_language", F.when(F.col("w") < 20, short).when(given.isNotNull(), known).otherwise(language.detect(F.col("t"))))
+    return docs.withColumns({"language": F.col("_language.code"), "language_confidence": F.col("_language.confidence")}).drop("_language")
 
 
 def quoted(x: str) -> str:

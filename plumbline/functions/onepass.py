@@ -96,7 +96,7 @@ class Scanner:
 
     def __init__(self, settings: Settings) -> None:
         self.settings = settings
-        self.packs = {d: [(re.compile(r.regex, re.I | re.M), r.anchors, SEVERITIES[r.severity]) for r in pack(d)] for d in DIMENSIONS}
+        self.packs = {d: [(re.compile(r.regex, re.I | re.M), r.anchors, SEVERITIES[r.severity]) for r in (*pack(d), *(x for x in settings.extra_rules if x.dimension == d))] for d in DIMENSIONS}
         self.lexicon = {t: w for c in LEXICON for t in c.terms if (w := c.weight_in(settings.profile)) > 0}
 
     def values(self, texts: list[str], words: list[int], wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -220,7 +220,7 @@ def catalogue(settings: Settings, rewrites: bool = False) -> list[dict]:
     if rewrites:
         rows = [(_order("suggestion", k), r.rule, r.replacement, r.confidence) for k, r in enumerate(REWRITES) if r.rule.rule_id not in settings.disabled_rules]
     else:
-        rules = [(_order(r.dimension, k), r) for k, r in enumerate(RULES)] + lexicon_rules(settings)
+        rules = [(_order(r.dimension, k), r) for k, r in enumerate((*RULES, *settings.extra_rules))] + lexicon_rules(settings)
         why = {EM_DASH: "", PARTICIPLE: "trailing clause of vague weight", TRICOLON: "three abstract items"}
         rules += [(_order(d, 900 if x == TRICOLON else 0), Rule(x, d, severity, "", (), why[x])) for x, (d, severity) in CODED.items()]
         rows = [(order, r, None, None) for order, r in rules if on(r.dimension, r.rule_id)]

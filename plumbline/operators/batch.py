@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.scoring import score
+from plumbline.functions.text import canonical, paragraphs
 from plumbline.operators.baseline import rank
+from plumbline.settings import Settings
 
 
 def by_label(scored: DataFrame) -> DataFrame:
@@ -41,6 +44,13 @@ def summary(scored: DataFrame, findings: DataFrame, source: str = "doc_id") -> D
     return totals(scored, findings).crossJoin(labels).crossJoin(severities).crossJoin(top)
 
 
+def by_paragraph(docs: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each paragraph of the documents that have two at least, scored by itself: (key, paragraph, slop_score, label, w, text), paragraphs counted from 0."""
+    parts = docs.select(key, F.transform(paragraphs(canonical(F.col(text))), F.trim).alias("_p")).where(F.size("_p") >= 2)
+    rows = parts.select(key, F.posexplode("_p").alias("paragraph", "text"))
+    return score(rows, settings).select(key, "paragraph", "slop_score", "label", "w", "text")
+
+
 def composition(rows: DataFrame, *keys: str) -> DataFrame:
     """Counts by all keys, by each prefix of them, and in total."""
     return rows.rollup(*keys).agg(F.count(F.lit(1)).alias("n"))

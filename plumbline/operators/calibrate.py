@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.stored import stored
@@ -50,6 +50,14 @@ def profile(scored: DataFrame, name: str = "own", min_words: int = MIN_WORDS) ->
     )
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A profile that was written as Parquet; any other table is refused."""
+    df = spark.read.parquet(path)
+    if missing := {"dimension", "n_docs", "mean", "std", "median", "mad", "robust"} - set(df.columns):
+        raise ValueError(f"{path} isn't a profile: no {', '.join(sorted(missing))}")
+    return df
+
+
 def zscore(value: Column, mean: Column, std: Column, median: Column, mad: Column, robust: Column) -> Column:
     """Clamped to 3 either way; where the baseline doesn't vary, 0 or 3."""
     center = F.when(robust, median).otherwise(mean)

@@ -31,19 +31,24 @@ def hits(settings: Settings, rewrites: bool = False) -> Column:
 
 
 def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """prepared with ``evidence``, a sorted array of structs, and ``unknown_names`` of its control comments.
+    """prepared with ``evidence``, a sorted array of structs, and ``unknown_names`` of its control comments, of which a ``warnings`` column is told.
 
     A finding's span is the original text between its offsets. What is disabled or suppressed is left out, and the
     score isn't touched by it. Findings are ordered by start, then dimension, rule and match.
     """
     settings = settings or Settings()
     df = prepared.withColumn("_comments", suppress.comments(F.col("original"), settings.comment_prefix))
-    df = df.withColumns({"_silent": suppress.ranges(F.col("original"), F.col("_comments")), "_gone": T.collapsed(F.col("original")), "unknown_names": suppress.unknown_names(F.col("_comments"), settings)})
+    df = df.withColumns({"_silent": suppress.ranges(F.col("original"), F.col("_comments")), "_gone": T.collapsed(F.col("original"))})
     df = df.withColumn("_located", onepass.locate(settings))
     if settings.suggest:
         df = df.withColumn("_rewritten", onepass.locate(settings, rewrites=True))
     df = df.withColumns({"_hits": hits(settings), "_rewrites": hits(settings, rewrites=True) if settings.suggest else F.array().cast(_NONE)})
 
+    df = df.withColumn("unknown_names", suppress.unknown_names(F.col("_comments"), F.transform("_hits", lambda x: x["rule_id"])))
+    if "warnings" in df.columns:
+        note = F.when(F.size("unknown_names") > 0, F.array(F.concat(F.lit("Control comments name what is no dimension and no rule that fired: "), F.array_join("unknown_names", ", ")))).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn("warnings", F.concat("warnings", note))
+
     def placed(x: Column) -> Column:
         start = T.to_original(x["start"], F.col("_gone"))
         end = T.to_original(x["end"] - 1, F.col("_gone")) + 1

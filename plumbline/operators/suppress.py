@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import spans
-from plumbline.settings import Settings
+from plumbline.settings import DIMENSIONS
 
 RANGE = "struct<start:int,end:int,names:array<string>>"
 
@@ -81,7 +81,7 @@ def silenced(silent: Column, start: Column, rule_id: Column, dimension: Column)
     )
 
 
-def unknown_names(found: Column, settings: Settings) -> Column:
-    """Sorted names in comments that are neither a dimension nor a rule."""
+def unknown_names(found: Column, fired: Column) -> Column:
+    """Sorted names in comments that are neither a dimension nor a rule that fired in the text (an array of rule ids)."""
     named = F.array_distinct(F.flatten(F.transform(found, lambda c: c["names"])))
-    return F.array_sort(F.array_except(named, F.array(*map(F.lit, sorted(settings.known_names)))))
+    return F.array_sort(F.array_except(named, F.array_union(F.array(*map(F.lit, DIMENSIONS)), fired)))

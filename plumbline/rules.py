@@ -15,8 +15,11 @@ scan can skip the expression on almost every text with a byte search.
 
 from __future__ import annotations
 
+import json
 import re
+import tomllib
 from dataclasses import dataclass
+from pathlib import Path
 
 SEVERITIES = {"low": 1, "medium": 2, "high": 4}
 RANKS = {"low": 1, "medium": 2, "high": 3}
@@ -275,5 +278,30 @@ CODED = {EM_DASH: ("formatting_tells", _L), PARTICIPLE: ("superficial_analysis",
 ALL_IDS: tuple[str, ...] = (*(r.rule_id for r in RULES), *(c.rule_id for c in LEXICON), *CODED)
 
 
+def load_rules(path: str | Path) -> tuple[Rule, ...]:
+    """Rules of a TOML or JSON file, or of all such files of a folder in the order of their names.
+
+    A file holds a list ``rules`` of tables with rule_id, dimension, severity, and either template or regex; explanation
+    and anchors (lower-case literals of which every match holds one) may be added. ValueError says what is wrong.
+    """
+    path = Path(path)
+    if path.is_dir():
+        return tuple(r for p in sorted(path.iterdir()) if p.suffix in (".toml", ".json") for r in load_rules(p))
+    data = tomllib.loads(path.read_text()) if path.suffix == ".toml" else json.loads(path.read_text())
+    out = []
+    for x in data.get("rules", []) if isinstance(data, dict) else data:
+        if missing := sorted({"rule_id", "dimension", "severity"} - set(x)):
+            raise ValueError(f"{path}: a rule has no {', '.join(missing)}")
+        if x["severity"] not in SEVERITIES or x["dimension"] not in {d for d, _, _ in _PACKS} or ("template" in x) == ("regex" in x):
+            raise ValueError(f"{path}: {x['rule_id']} needs a known severity and dimension, and either template or regex")
+        regex, anchors = compile_template(x["template"]) if "template" in x else (x["regex"], ())
+        try:
+            re.compile(regex)
+        except re.error as e:
+            raise ValueError(f"{path}: {x['rule_id']}: {e}") from e
+        out.append(Rule(x["rule_id"], x["dimension"], x["severity"], regex, tuple(x.get("anchors", anchors)), x.get("explanation", "")))
+    return tuple(out)
+
+
 def pack(dimension: str) -> list[Rule]:
     return [r for r in RULES if r.dimension == dimension]

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
 
-from plumbline.rules import ALL_IDS, RANKS, REWRITES
+from plumbline.rules import ALL_IDS, RANKS, REWRITES, Rule
 
 #: Dimensions in scan order, which is also the order of findings that start together.
 DIMENSIONS = (
@@ -66,6 +66,8 @@ class Settings:
     comment_prefix: str = "plumbline"
     #: Straighten curly quotes and repair text before anything is counted.
     repair: bool = True
+    #: Rules beside the catalogue's, as rules.load_rules() reads them from files.
+    extra_rules: tuple[Rule, ...] = ()
 
     def __post_init__(self) -> None:
         if self.strictness not in GAINS:
@@ -80,10 +82,10 @@ class Settings:
 
     @property
     def known_names(self) -> frozenset[str]:
-        return frozenset((*DIMENSIONS, *ALL_IDS, *(r.rule.rule_id for r in REWRITES)))
+        return frozenset((*DIMENSIONS, *ALL_IDS, *(r.rule.rule_id for r in REWRITES), *(r.rule_id for r in self.extra_rules)))
 
 
-_KEYS = {f.name for f in fields(Settings)}
+_KEYS = {f.name for f in fields(Settings)} - {"extra_rules"}
 _SETS = ("disabled_dimensions", "disabled_rules")
 
 

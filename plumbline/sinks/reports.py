@@ -16,8 +16,8 @@ GLYPHS = {"high": "▲", "medium": "●", "low": "○"}
 MOST_LINES = 50
 
 
-def report(settings: Settings, source: str = "source", source_type: str | None = None) -> Column:
-    """The whole report of a row that score() and with_evidence() made."""
+def report(settings: Settings, source: str = "source", source_type: str | None = None, extra: tuple[str, ...] = ()) -> Column:
+    """The whole report of a row that score() and with_evidence() made; extra columns (deviations, authorship) stand at its end."""
     return F.struct(
         F.lit(VERSION).alias("version"),
         F.struct((F.col(source_type) if source_type else F.lit("text")).alias("source_type"), F.col(source).cast("string").alias("source"), F.lit(settings.profile).alias("profile"), "language", F.col("w").alias("word_count")).alias("input"),
@@ -25,11 +25,12 @@ def report(settings: Settings, source: str = "source", source_type: str | None =
         F.struct(*DIMENSIONS).alias("dimensions"),
         F.transform("evidence", lambda e: e.dropFields("ord", "n", "dimension")).alias("evidence"),
         "warnings",
+        *extra,
     )
 
 
-def to_json(settings: Settings, source: str = "source") -> Column:
-    return F.to_json(report(settings, source))
+def to_json(settings: Settings, source: str = "source", source_type: str | None = None, extra: tuple[str, ...] = ()) -> Column:
+    return F.to_json(report(settings, source, source_type, extra))
 
 
 def to_markdown(source: str = "source") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-MARKDOWN, PYTHON = (".markdown", ".md", ".mdx"), (".py", ".pyi")
+MARKDOWN, PYTHON = (".markdown", ".md"), (".py", ".pyi")
 SCRIPT = (".cjs", ".js", ".jsx", ".mjs", ".ts", ".tsx")
 _ENTITY = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 #: Steps of html(), in a form that RE2 reads as well.

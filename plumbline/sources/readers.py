@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
 from functools import reduce
 from pathlib import Path
 
@@ -25,6 +27,18 @@ def listing(root: str, recursive: bool = False) -> list[str]:
     return sorted(str(p) for p in files if p.is_file() and (p == path or p.suffix.lower() in SUFFIXES))
 
 
+def changed(paths: list[str], ref: str) -> list[str]:
+    """Files below these paths that can be scanned and differ from a git ref, sorted; ValueError where git says no."""
+    out: set[str] = set()
+    for p in paths:
+        folder = p if os.path.isdir(p) else os.path.dirname(p) or "."
+        run = subprocess.run(["git", "-C", folder, "diff", "--name-only", "--relative", "--diff-filter=d", ref, "--", os.path.abspath(p)], capture_output=True, text=True)
+        if run.returncode:
+            raise ValueError(run.stderr.strip() or f"git can't compare with {ref}")
+        out |= {os.path.join(folder, x) for x in run.stdout.splitlines() if Path(x).suffix.lower() in SUFFIXES}
+    return sorted(out)
+
+
 def read_files(spark: SparkSession, paths: list[str], recursive: bool = False, json_path: str | None = None, prefix: str = "plumbline") -> DataFrame:
     """(source, source_type, text, valid) of files in any storage; those that aren't UTF-8 have valid false and no text.
 
