@@ -1,22 +1,28 @@
 """HTML extraction by equivalence classes of tokens across a host's pages.
 
 A page is tags and words. A token's role is the token within its path of open tags; a tag counts by its name,
-class and id, a comment, script or style as one token. The occurrence vector of a role says how often it is in each of the
-host's pages; roles with equal vectors (equal 64-bit sums of hashed pages and counts) form a class. Roles that are
-once in every page make the root class. Another class counts if at least LEAST_SIZE roles have its vector, and
-is valid if in every page its roles come as whole repetitions in one order, nested in the others: neither a root
-token nor a part of another class lies across it. Root and valid classes, in the order of their roles' mean
-first place, are the host's template. What remains of a page's words between two template tokens is a slot.
-
-A host's pages are brought together in blocks of about BLOCK_PAGES by a hash, so that a host of any size is
-spread over tasks; classes are made of the blocks' sums. A role takes part if it is in at least SUPPORT of the
-pages of every block of its host. Templates are joined to pages by host, broadcast if they are few enough.
+class and id, a comment, script or style as one token. A closing tag closes the last open one of its name, however deep;
+p, li, dt, dd, option, tr, td and th end where the next one of their name begins beside them. The occurrence vector of
+a role says how often it is in each of the host's pages; roles with equal vectors (equal 64-bit sums of hashed pages and
+counts) form a class. A role takes part if it is in at least SUPPORT of its host's pages. Roles that are once in every
+page make the root class, without those that change places with another one in some page. Another class counts if at
+least LEAST_SIZE roles have its vector, and a tag is among them or half of the pages hold them (words alone that fewer
+pages share are copied text), and is valid if in every page its roles come as whole repetitions in one order,
+nested in the others: neither a root token nor a part of another class lies across it. Root and valid classes, in the
+order of their roles' mean first place, are the host's template. What remains of a page's words between two template
+tokens is a slot.
+
+A host's pages are brought together in blocks of about BLOCK_BYTES by a hash, so that a host of any size is spread over
+tasks. A role with the support in the whole host has it in one of its blocks; of hosts with several blocks, the roles
+that have it in one are counted again in all pages, task by task, for vectors are sums: only then is the support
+asked, of all hosts alike. Templates
+are joined to pages by host, broadcast if they are few enough; else Spark splits the partitions of large hosts.
 
 Result: (page_id, slot, occurrence, text): slot is the place in the template of the token before it, -1 for
 none, occurrence counts the slot's repetitions in the page from 0; empty slots give no row. Pages of hosts with
 fewer than LEAST_PAGES pages, or without a host (a null url, too), have all their words in slot -1. A null or
 empty html gives no row; a null page_id is kept. Repeated rows count as pages of their own. Tokens of malformed markup are read as far
-as they go: a "<" that is never closed is text. Other columns aren't read.
+as they go: a "<" that is never closed is text. A page of any length or depth is read whole. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,19 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SOLID, blocks, checkpoint, joined, mix, table, word_hashes
+from .common import SOLID, blocks, bounded, checkpoint, joined, mix, table, word_hashes
 from .ngram_join import _cuts, _runs
 
-LEAST_PAGES, LEAST_SIZE, SUPPORT, BLOCK_PAGES = 4, 2, 0.5, 2048
+LEAST_PAGES, LEAST_SIZE, SUPPORT, BLOCK_BYTES = 4, 2, 0.2, 4 << 20
 #: Roles of all templates together (some 40 bytes each) up to which they are broadcast to the pages; beyond, both are shuffled by host.
 BROADCAST_ROLES = 1_000_000
-#: Hosts that may be spread over several blocks.
-LARGE_HOSTS = 100_000
+#: Hosts up to which their page counts are broadcast to the pages.
+BROADCAST_HOSTS = 1_000_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 SCHEMA = "page_id bigint, slot int, occurrence int, text string"
 _TAG = re.compile(rb"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[!/?]?[A-Za-z][^<>]*>", re.S | re.I)
 _NAME = re.compile(rb"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 _KEPT = re.compile(rb"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ENDS_ITSELF = frozenset(b"p li dt dd option tr td th".split())
 _VOID = frozenset(b"area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -100,6 +107,10 @@ class Reader:
                 above = stack[-1][1]
                 if name is not None:
                     if not closes:
+                        if stack[-1][0] == name and name in _ENDS_ITSELF:
+                            stack.pop()
+                            depth[name] -= 1
+                            above = stack[-1][1]
                         stack.append((name, self.path(above, name)))
                         depth[name] = depth.get(name, 0) + 1
                     elif depth.get(name):
@@ -120,7 +131,7 @@ class Reader:
         h, s, e = word_hashes(masked, SOLID)
         path = np.array(after, np.uint64)[np.searchsorted(to, s, side="right") - 1] if len(s) else np.zeros(0, np.uint64)
         real = to > at
-        role = np.r_[mix(np.array(roles, np.uint64)[real]), mix(h + mix(path))]
+        role = np.r_[mix(np.array(roles, np.uint64)[real]) | np.uint64(1), mix(h + mix(path)) & ~np.uint64(1)]  # odd: a tag
         start, end = np.r_[at[real], s], np.r_[to[real], e]
         word = np.r_[np.zeros(int(real.sum()), bool), np.ones(len(s), bool)]
         order = np.argsort(start, kind="stable")
@@ -129,7 +140,7 @@ class Reader:
 
 
 def _sums(support: float):
-    """Sorted (host, salt, html, key) to each frequent role of each block: (host, role, vector, pages, total, first)."""
+    """Sorted (blk, host, html, page_key, split) to the roles with the support in each block: (host, role, vector, pages, total, first, split)."""
 
     def run(batches):
         reader = Reader()
@@ -155,15 +166,49 @@ def _sums(support: float):
                 keep = pages >= support * (hi - lo)
                 host = part.column("host")[0]
                 k = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.repeat(host, k), pa.array(r[own][keep].view(np.int64)), pa.array(vector[keep].view(np.int64)), pa.array(pages[keep]), pa.array(total[keep]), pa.array(place[keep]), pa.array(np.full(k, hi - lo))], ["host", "role", "vector", "pages", "total", "first", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(host, k), pa.array(r[own][keep].view(np.int64)), pa.array(vector[keep].view(np.int64)), pa.array(pages[keep]), pa.array(total[keep]), pa.array(place[keep]), pa.repeat(part.column("split")[0], k)], ["host", "role", "vector", "pages", "total", "first", "split"])
 
     return run
 
 
+def _recounted(batches):
+    """Pages with some roles of their host to the sums of these roles over all pages of the task: (host, role, vector, pages, total, first)."""
+    reader, found, size = Reader(), {}, 0
+
+    def told():
+        for host, (roles, sums) in found.items():
+            some = sums[1] > 0
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(host), int(some.sum())), *[pa.array(x[some].view(np.int64)) for x in (roles, *sums)]], ["host", "role", "vector", "pages", "total", "first"])
+
+    for part, html in blocks(batches, "html"):
+        _, page, role, _, _, _ = reader.tokens(html)
+        ends = np.searchsorted(page, np.arange(part.num_rows + 1))
+        keys, hosts = part.column(3).to_numpy().view(np.uint64), part.column(0)
+        for i in range(part.num_rows):
+            host = hosts[i].as_py()
+            if host not in found:
+                if size > 1_000_000:
+                    yield from told()
+                    found, size = {}, 0
+                roles = np.sort(part.column(2)[i].values.to_numpy().view(np.uint64))
+                found[host] = (roles, [np.zeros(len(roles), np.uint64) for _ in range(4)])
+                size += len(roles)
+            known, (vector, pages, total, first) = found[host]
+            r = role[ends[i] : ends[i + 1]]
+            at = np.minimum(np.searchsorted(known, r), len(known) - 1)
+            place = np.flatnonzero(known[at] == r)
+            own, begin, n = np.unique(at[place], return_index=True, return_counts=True)
+            vector[own] += mix(keys[i] + n.astype(np.uint64))
+            pages[own] += np.uint64(1)
+            total[own] += n.astype(np.uint64)
+            first[own] += place[begin].astype(np.uint64)
+    yield from told()
+
+
 def _broken(batches):
-    """(host, class) of the classes that aren't whole, ordered and nested in some page."""
+    """(host, class, index) of the classes that aren't whole, ordered and nested in some page (index -1), and of the root's roles that change places."""
     reader, told = Reader(), set()
-    for part, html in blocks(batches, "html", 2 << 20):
+    for part, html in blocks(batches, "html"):
         _, page, role, _, _, _ = reader.tokens(html)
         ends = np.searchsorted(page, np.arange(part.num_rows + 1))
         hosts, out, last = part.column(0), [], None
@@ -178,7 +223,10 @@ def _broken(batches):
             at = np.minimum(np.searchsorted(known, r), len(known) - 1)
             open_: list[list[int]] = []
             bad: set[int] = set()
-            for j in order[at[known[at] == r]].tolist():
+            met = order[at[known[at] == r]]
+            places = np.array(index)[met[np.array(classes)[met] == 0]] if len(met) else met
+            moved = places[(np.maximum.accumulate(places) > places) | (np.minimum.accumulate(places[::-1])[::-1] < places)].tolist()
+            for j in met.tolist():
                 c, k = classes[j], index[j]
                 if c == 0:
                     bad.update(x[0] for x in open_)
@@ -199,17 +247,18 @@ def _broken(batches):
                     bad.add(c)
                     open_ = [x for x in open_ if x[0] != c]
             bad.update(x[0] for x in open_)
-            out += [(host, c) for c in bad if (host, c) not in told]
-            told.update((host, c) for c in bad)
+            new = {*((host, c, -1) for c in bad), *((host, 0, k) for k in moved)} - told
+            out += new
+            told |= new
             if len(told) > 1_000_000:
                 told.clear()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out], pa.int32())], ["host", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32()))], ["host", "class", "index"])
 
 
 def _slots(batches):
     reader = Reader()
-    for part, html in blocks(batches, "html", 2 << 20):
+    for part, html in blocks(batches, "html"):
         buf, page, role, start, end, word = reader.tokens(html)
         n = part.num_rows
         ends = np.searchsorted(page, np.arange(n + 1))
@@ -254,39 +303,42 @@ def _slots(batches):
 
 def _narrow(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.col("url").cast("string"), HOST, 1)
-    return pages.select(F.lower(F.when(host != "", host)).alias("host"), F.col("html").cast("string").alias("html"), F.col("page_id").cast("bigint").alias("page_id")).where("html is not null and html <> ''")
+    return bounded(pages).select(F.lower(F.when(host != "", host)).alias("host"), F.col("html").cast("string").alias("html"), F.col("page_id").cast("bigint").alias("page_id")).where("html is not null and html <> ''")
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT, least_size: int = LEAST_SIZE, block_pages: int = BLOCK_PAGES) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, support: float = SUPPORT, least_size: int = LEAST_SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each host with a template: host, and its roles, their classes, places in the class and class sizes, in the template's order."""
     rows = _narrow(pages).where("host is not null")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    large = {r["host"]: -(-r["n"] // block_pages) for r in hosts.where(F.col("n") > block_pages).orderBy(F.desc("n"), "host").limit(LARGE_HOSTS).collect()}
-    key = F.xxhash64("page_id", "html")
-    split = F.lit(1)
-    if large:
-        split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), F.col("host")), F.lit(1))
-    placed = rows.withColumn("page_key", key).withColumn("blk", F.xxhash64("host", F.pmod("page_key", split)))
-    placed = placed.select("blk", "host", "html", "page_key").repartition("blk").sortWithinPartitions("blk")
-    sums = placed.mapInArrow(_sums(support), "host string, role bigint, vector bigint, pages bigint, total bigint, first bigint, seen bigint")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.ceil(F.sum(F.octet_length("html")) / block_bytes).cast("bigint").alias("split")).where(F.col("n") >= least_pages)
+    hosts = checkpoint(hosts)
+    few = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    placed = rows.join(few.select("host", "split"), "host").withColumn("page_key", F.xxhash64("page_id", "html"))
+    placed = placed.select(F.xxhash64("host", F.pmod("page_key", "split")).alias("blk"), "host", "html", "page_key", "split").repartition("blk").sortWithinPartitions("blk")
+    sums = checkpoint(placed.mapInArrow(_sums(support), "host string, role bigint, vector bigint, pages bigint, total bigint, first bigint, split bigint"))
+    again = sums.where("split > 1").groupBy("host").agg(F.collect_set("role").alias("roles"))
+    again = rows.withColumn("page_key", F.xxhash64("page_id", "html")).join(_sent(checkpoint(again)), "host").select("host", "html", "roles", "page_key")
+    sums = sums.where("split = 1").drop("split").unionByName(again.mapInArrow(_recounted, "host string, role bigint, vector bigint, pages bigint, total bigint, first bigint"))
     # sums of 64-bit hashes wrap around; Spark's would overflow, so the halves are added
     half = lambda shift: F.sum(F.shiftrightunsigned("vector", shift).bitwiseAND(F.lit(0xFFFFFFFF)))
-    roles = sums.groupBy("host", "role").agg(half(32).alias("high"), half(0).alias("low"), *[F.sum(c).alias(c) for c in ("pages", "total", "first", "seen")])
-    roles = roles.join(hosts, "host").where("seen = n")
+    roles = sums.groupBy("host", "role").agg(half(32).alias("high"), half(0).alias("low"), *[F.sum(c).alias(c) for c in ("pages", "total", "first")])
+    roles = roles.join(few.select("host", "n"), "host").where(F.col("pages") >= F.lit(support) * F.col("n"))
+    # halves carry over: two sums of one vector have to be equal whatever the blocks
+    roles = roles.withColumn("high", F.pmod(F.col("high") + F.shiftright("low", 32), F.lit(1 << 32))).withColumn("low", F.pmod("low", F.lit(1 << 32)))
     root = (F.col("pages") == F.col("n")) & (F.col("total") == F.col("n"))
     one = F.struct((F.col("first") / F.col("pages")).alias("at"), "role")
-    classes = roles.groupBy("host", root.alias("root"), "high", "low", "pages", "total").agg(F.array_sort(F.collect_list(one)).alias("roles"))
-    classes = classes.where(F.col("root") | (F.size("roles") >= least_size))
+    classes = roles.groupBy("host", "n", root.alias("root"), "high", "low", "pages", "total").agg(F.array_sort(F.collect_list(one)).alias("roles"))
+    layout = (2 * F.col("pages") >= F.col("n")) | F.exists("roles", lambda r: r["role"].bitwiseAND(F.lit(1)) == 1)
+    classes = classes.where(F.col("root") | (F.size("roles") >= least_size) & layout)
     listed = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((~F.col("root")).alias("other"), F.col("roles")[0]["at"].alias("at"), F.col("roles")[0]["role"].alias("role"), "roles"))).alias("classes"))
     flat = listed.select("host", F.posexplode("classes").alias("no", "c"))
     # class 0 is the root; where no role is once in every page, there is none
-    flat = flat.select("host", (F.col("no") + F.col("c.other").cast("int") * 1_000_000).alias("class"), "c.roles", F.col("c.other").alias("other"))
-    flat = flat.select("host", F.when(F.col("other"), F.col("class")).otherwise(0).alias("class"), F.size("roles").alias("size"), F.posexplode("roles").alias("index", "r"))
+    flat = flat.select("host", F.when(F.col("c.other"), F.col("no") + 1).otherwise(0).alias("class"), F.size("c.roles").alias("size"), F.posexplode("c.roles").alias("index", "r"))
     candidates = checkpoint(_arranged(flat.select("host", "class", "size", "index", F.col("r.at").alias("at"), F.col("r.role").alias("role"))))
-    bad = rows.join(_sent(candidates), "host").select("host", "html", "roles", "classes", "indexes", "sizes").mapInArrow(_broken, "host string, class int").distinct()
+    bad = rows.join(_sent(candidates), "host").select("host", "html", "roles", "classes", "indexes", "sizes").mapInArrow(_broken, "host string, class int, index int").distinct()
     kept = candidates.select("host", F.explode(F.arrays_zip("roles", "classes", "indexes", "sizes", "ats")).alias("r"))
     kept = kept.select("host", F.col("r.classes").alias("class"), F.col("r.sizes").alias("size"), F.col("r.indexes").alias("index"), F.col("r.ats").alias("at"), F.col("r.roles").alias("role"))
-    return _arranged(kept.join(bad, ["host", "class"], "left_anti"))
+    gone = (F.col("k.host") == F.col("b.host")) & (F.col("k.class") == F.col("b.class")) & ((F.col("b.index") < 0) | (F.col("b.index") == F.col("k.index")))
+    return _arranged(kept.alias("k").join(bad.alias("b"), gone, "left_anti"))
 
 
 def _sent(found: DataFrame) -> DataFrame:
