@@ -464,6 +464,19 @@ def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: in
     return found.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
+#: All pairs of documents that share an n-gram, and what links connect.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE k >= 0.5 * (p.n + q.n - k) - 1e-9),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS root FROM n UNION SELECT e.x, r.root FROM r JOIN e ON e.y = r.x WHERE r.root < e.x),
+m AS (SELECT x, min(root) AS class_id FROM r GROUP BY x), k AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN m ON m.x = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""
+
 _KEY = "__plumbline_key"
 
 

@@ -20,4 +20,5 @@ ORACLES = {
     "op3_secret_scans": secrets.ORACLE,
     "op5_decontamination": winnow.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op7_ngram_jaccard": ngram_join.ORACLE,
 }
