@@ -172,7 +172,7 @@ def matches(rules: list[Rule] | None = None, cte: str = "ev") -> str:
         extra = f"""
     UNION ALL SELECT doc_id, original, t, gone, {at['formatting_tells']} AS ord, {q(EM_DASH)}, 'formatting_tells', {q(CODED[EM_DASH][1])}, 0 AS n, {dash} AS a, 1 AS len FROM gn WHERE {count(f.DASH)} >= 2
     UNION ALL SELECT doc_id, original, t, gone, {at['parallelism'] + slogan[0]} AS ord, {q(slogan[1].rule_id)}, 'parallelism', {q(slogan[1].severity)}, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1, a, len(regexp_extract(substring(t, a::INT + 1), {q(_SLOGAN)})) FROM
-        (SELECT *, unnest(range(0, len(t))) AS a FROM gn WHERE regexp_matches(t, '(?i)not'))
+        (SELECT *, unnest(range(0, len(t))) AS a FROM gn WHERE regexp_matches(t, {q(_RE2['PARALLEL_X_NOT_Y'][0])}))
         WHERE (a = 0 OR substring(t, a::INT, 1) = E'\\n' OR regexp_matches(substring(t, a::INT - 1, 2), '^(?:[.!?:]\\s|\\*\\*)$') AND a > 1) AND regexp_matches(substring(t, a::INT + 1), {q(_SLOGAN)})"""
     one = lambda k: f"(CASE WHEN len(regexp_extract(m, {q(_TRICOLON)}, {k})) > 4 AND regexp_matches(lower(regexp_extract(m, {q(_TRICOLON)}, {k})), {q(f.ABSTRACT)}) THEN 1 ELSE 0 END)"
     vague = f"lower(regexp_extract(m, {q(f.PARTICIPLE)}, 1)) IN {_list(f.ANALYSIS)} OR list_has_any(string_split_regex(lower(regexp_extract(m, {q(f.PARTICIPLE)}, 2)), '[^a-z]+'), [{', '.join(map(q, f.VAGUE))}])"
