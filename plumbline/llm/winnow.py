@@ -30,6 +30,7 @@ from .common import blocks, bounded, gram_hashes, joined, table, without, word_h
 
 K, W = 5, 4
 BROADCAST_WORDS = 4_000_000
+_KEY = "__plumbline_key"
 SCHEMA = "doc_id bigint, item_id bigint, doc_word int, item_word int, n_words int"
 
 
@@ -114,8 +115,32 @@ def _narrow(df: DataFrame, key: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Shared spans of docs (doc_id, text) and benchmark (item_id, text): where they start, in words, and how long they are."""
     docs, items = _narrow(docs, "doc_id"), _narrow(benchmark, "item_id")
-    size = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0  # a word takes two characters at least
-    return (_broadcast if size <= broadcast_words else _shuffled)(docs, items, k, w).distinct()
+    return (_broadcast if _size(items) <= broadcast_words else _shuffled)(docs, items, k, w).distinct()
+
+
+def _size(items: DataFrame) -> float:
+    """At least as many as the words of the items: one takes two characters."""
+    return items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
+
+
+def _found(index: Index, text: pa.Array, k: int, w: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the text, number of the item, start in the text, start in the item, words) of all shared spans."""
+    h, bounds = words(text)
+    prints, at = fingerprints(h, bounds, k, w)
+    own, hit = index.hits(prints)
+    if not len(own):
+        return
+    doc = np.searchsorted(bounds, at[own], side="right") - 1
+    item = index.item[hit]
+    places = np.column_stack([at[own] - bounds[doc], index.at[hit]])
+    pair = doc * np.int64(len(index.ids)) + item
+    order = np.argsort(pair, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(pair[order])) + 1, len(order)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        d, i = int(doc[order[lo]]), int(item[order[lo]])
+        its = index.words[index.bounds[i] : index.bounds[i + 1]]
+        for span in spans(h[bounds[d] : bounds[d + 1]], its, places[order[lo:hi]], k, k + w - 1):
+            yield d, i, *span
 
 
 def _broadcast(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
@@ -124,23 +149,8 @@ def _broadcast(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
     def run(batches):
         index: Index = model.value
         for part, text in blocks(batches):
-            h, bounds = words(text)
-            prints, at = fingerprints(h, bounds, k, w)
-            own, hit = index.hits(prints)
-            if not len(own):
-                continue
-            doc = np.searchsorted(bounds, at[own], side="right") - 1
-            item = index.item[hit]
-            places = np.column_stack([at[own] - bounds[doc], index.at[hit]])
-            pair = doc * np.int64(len(index.ids)) + item
-            order = np.argsort(pair, kind="stable")
-            cuts = np.r_[0, np.flatnonzero(np.diff(pair[order])) + 1, len(order)]
-            ids, rows = part.column(0).to_numpy(zero_copy_only=False), []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                d, i = int(doc[order[lo]]), int(item[order[lo]])
-                own_words, its = h[bounds[d] : bounds[d + 1]], index.words[index.bounds[i] : index.bounds[i + 1]]
-                rows += [(int(ids[d]), int(index.ids[i]), *x) for x in spans(own_words, its, places[order[lo:hi]], k, k + w - 1)]
-            if rows:
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            if rows := [(int(ids[d]), int(index.ids[i]), *x) for d, i, *x in _found(index, text, k, w)]:
                 yield _rows(rows)
 
     return docs.mapInArrow(run, SCHEMA)
@@ -199,6 +209,21 @@ FROM run GROUP BY doc_id, item_id, i - j, r
 """
 
 
-def drop(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """The rows of docs that share no span with the benchmark, with all columns; rows with a null doc_id stay."""
-    return without(docs, contaminated(docs, benchmark, k, w).select("doc_id").distinct())
+def drop(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of docs that share no span with the benchmark, with all columns, whatever their doc_id; null texts stay.
+
+    With a benchmark that can be broadcast each row is decided where it is; else texts go by a 64-bit hash.
+    """
+    items = _narrow(benchmark, "item_id")
+    if _size(items) > broadcast_words:
+        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+        return without(docs.withColumn(_KEY, F.xxhash64("text")), contaminated(texts, benchmark, k, w, broadcast_words).select("doc_id").distinct(), _KEY).drop(_KEY)
+    model = docs.sparkSession.sparkContext.broadcast(Index.of(items.toArrow(), k, w))
+
+    def run(batches):
+        for part, text in blocks(batches):
+            clean = np.ones(part.num_rows, bool)
+            clean[[d for d, *_ in _found(model.value, text, k, w)]] = False
+            yield part.filter(pa.array(clean))
+
+    return bounded(docs).mapInArrow(run, docs.schema)

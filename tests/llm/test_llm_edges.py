@@ -92,8 +92,13 @@ def test_winnow(spark, docs, none):
         assert found == {(1, 1), (2, 1), (6, 5)}
         assert {tuple(r) for r in got if r["item_id"] == 1} == {(1, 1, 0, 0, 12), (2, 1, 0, 0, 12)}
         assert winnow.contaminated(none, bench, broadcast_words=words).count() == winnow.contaminated(docs, bench.limit(0), broadcast_words=words).count() == 0
-    kept = winnow.drop(docs, bench)
-    assert kept.columns == docs.columns and ids(kept) == [3, 4, 5, 7, 8, 9, None]
+    for words in (winnow.BROADCAST_WORDS, 0):
+        kept = winnow.drop(docs, bench, broadcast_words=words)
+        assert kept.columns == docs.columns and ids(kept) == [3, 4, 5, 7, 8, 9, None]
+        # a row without a name goes like any other
+        named = spark.createDataFrame([(1, ROWS[6][1])], "item_id bigint, text string")
+        assert ids(winnow.drop(docs, named, broadcast_words=words)) == [x for x in ALL if x is not None]
+        assert winnow.drop(none, bench, broadcast_words=words).count() == 0
 
 
 def test_ngram_join(docs, none):

@@ -41,3 +41,25 @@ def test_stages(spark, duck, tmp_path):
     before, after = map(rows, seen[4])
     assert set(before) == set(after) and all(r["round_trip"] and r["n_tokens"] == len(r["tokens"]) for r in after.values())
     assert np.array_equal(sorted(after), sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).select("doc_id").collect()))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and languages, empty and repeated rows, columns of other names, and an empty table: every stage gives rows that keep their columns."""
+    from .test_llm_edges import ROWS, SCHEMA
+
+    rows = [(*r, len(r[1] or ""), 0.5, 1, 2, 3, 4, "z") for r in [*ROWS, ROWS[6], (None, ROWS[0][1], "en", "a"), (20, 'my TOKEN = "0123456789abcdef0123"', "en", "b")]]
+    for name, docs in (("odd", spark.createDataFrame(rows, SCHEMA)), ("none", spark.createDataFrame([], SCHEMA))):
+        seen = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}{k}")
+            after = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == 4 or after.columns == docs.columns
+            docs = after
+            seen.append(sorted(((r["doc_id"], r["text"]) if k < 4 else (r["doc_id"], r["n_tokens"]) for r in after.collect()), key=repr))
+        if name == "none":
+            assert seen == [[]] * 5
+            continue
+        # texts without letters and null ones go; of repeated and equal rows one stays, with the least doc_id that is its own
+        assert not [x for x in seen[0] if not (x[1] or "").strip()]
+        assert [x for x in seen[1] if x[1] == ROWS[0][1]] == [(2, ROWS[0][1])] and len([x for x in seen[1] if x[1] == ROWS[6][1]]) == 1
+        assert seen[2] == seen[1] and [t for i, t in seen[3] if i == 20] == ["my <assigned_token>"] and len(seen[4]) == len(seen[3])
