@@ -7,7 +7,7 @@ import pytest
 from plumbline.operators import evaluate
 from plumbline.plans.queries import ORACLES, QUERIES
 
-FAST = ["word_count", "sentences", "dim_lexical_markers", "dim_redundancy", "dim_parallelism", "score_rules", "evidence", "suggestions", "html_prose", "json_strings", "class_quota", "first_of_each", "composition"]
+FAST = ["word_count", "sentences", "dim_lexical_markers", "dim_redundancy", "dim_parallelism", "score_rules", "evidence", "suggestions", "html_prose", "json_strings", "class_quota", "first_of_each", "composition", "suppressed", "calibration", "promotion_gate", "rule_metadata"]
 
 
 @pytest.mark.parametrize("name", FAST)
