@@ -20,6 +20,14 @@ SNIPPETS = [
     "The tool reads the file. The tool reads the file. The tool reads the file again. Nothing else happens here today.",
     "<!-- plumbline-disable-next-line CLAIM_EVERYONE_KNOWS -->\nEveryone knows that it rains. Experts argue.\nEveryone knows that it snows. A plan, not a promise. Love, not war.",
     "<!-- plumbline-disable-file lexical_markers, BOGUS_NAME --> A robust, holistic paradigm: crucial, vital and seamless. Movement, development, and innovation. Research shows that it works (Lee et al).",
+    "Whether you are a beginner or an expert, not only does it help but it also lasts. In this comprehensive guide, from soup to salad, the ever-evolving shop offers choice. In conclusion, why does it matter? Here's why: taste.",
+    "It was part of a broader movement, leaving an indelible mark. Deeply rooted in tradition, it contributed to the wider understanding, setting the stage for more.",
+    "It was featured in daily papers and various media outlets, with significant independent coverage. They maintain an active online presence. Local publications such as these agree. It is widely regarded as good, and many critics have argued.",
+    "It has transformed the industry in an increasingly digital world, and is more relevant than ever before. Here is the revised version. [insert name] My training data goes up to then. The training data is old.\nSure, that helps.",
+    "They are not just tools, they are friends. It is not a race but a walk. No gym here, no plan there, only will. It chose craft rather than speed. It represents a change. Not only that, but they also won. ```json",
+    "A number of us endeavor to facilitate it. In the event that it rains, and subsequent to lunch, it has the ability to run at this point in time.",
+    "The cornerstone ecosystem, landscape and realm of synergy: comprehensive, essential, integral, notable, paramount, significant and valuable. Empower, unleash, unlock, supercharge, revolutionize. Additionally, importantly, notably, ultimately, furthermore.",
+    "Bolster, delving, elevate, fostering, garner, harnessing, illuminate, leverages, navigate, showcase, streamline, underscores. Enduring interplay, intricacies, intricate, meticulous, meticulously, multifaceted, nuanced.",
     "Is this a choice? So what does that mean? Sound familiar? What if I told you the answer is simple?",
 ]
 

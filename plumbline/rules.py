@@ -150,7 +150,7 @@ _PACKS: list[tuple[str, str, list[tuple[str, str, str, str]]]] = [
             ("AUTHORITY_NO_CITATION", _M, r"re:\b(?:data|evidence|research|science|studies) (?:confirm|demonstrate|prove|reveal|show)s? (?:that )?(?![^.?!]{0,80}?(?:et al|https?://|\(\d{4}|\[)) ## data &evidence &research &science &studies ", "authority without a source"),
             ("REVOLUTIONIZED", _M, r"re:\b(?:(?:had|has|have) )?(?:completely (?:altered|changed)|fundamentally changed|reimagined|reshaped|revolutioniz(?:es|ed)|transformed|upended) (?:the )?(?:economy|field|industry|landscape|society|way people\b|way we\b|world)\b ## altered&changed&reimagined&reshaped&revolutioniz&transformed&upended", "sweeping change"),
             ("FUTURE_INEVITABLE", _L, r"re:\bthe (?:next (?:age|chapter|era|frontier|generation)|future) of [^.?!]{1,40}? (?:will be|is) (?:bright|here|inevitable|limitless|now|revolutionary|transformative|unprecedented)\b ## the next &the future of ", "certain future"),
-            ("INCREASINGLY_WORLD", _L, "in {a an today's} {AI-powered AI_powered digitally-driven digitally_driven ever-changing ever_changing fast-paced fast_paced hyper-connected hyper_connected increasingly interconnected rapidly_changing rapidly_evolving} [digital global modern]{age economy environment era landscape society world}", "stock state of the world"),
+            ("INCREASINGLY_WORLD", _L, "in {a an today's} {AI-powered AI_powered digitall-driven digitall_driven digitally-driven digitally_driven ever-changing ever_changing fast-paced fast_paced hyper-connected hyper_connected increasingly interconnected rapidly_changing rapidly_evolving} [digital global modern]{age economy environment era landscape society world}", "stock state of the world"),
             ("MORE_THAN_EVER", _L, "more {critical crucial essential important relevant vital} than ever{_before }", "comparison with all time"),
         ],
     ),

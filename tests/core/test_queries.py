@@ -32,3 +32,15 @@ def test_span_match(spark):
     df = spark.createDataFrame([([(0, 4), (0, 4), (9, 12)], [(0, 4), (10, 12)]), ([], []), ([], [(1, 2)])], f"pred {s}, gold {s}")
     assert [(r.matched, r.precision, r.recall) for r in evaluate.span_match(df).collect()] == [(1, 1 / 3, 0.5), (0, 1.0, 1.0), (0, 0.0, 0.0)]
     assert evaluate.span_match(df, 0.6).first().matched == 2
+
+
+def test_every_rule_is_in_the_planted_sentences():
+    import re
+
+    from plumbline.plans.planted import SNIPPETS
+    from plumbline.rules import LEXICON, REWRITES, RULES
+
+    texts = [re.sub("[ \t]+", " ", s.replace("\r\n", "\n")) for s in SNIPPETS]
+    rules = [*RULES, *(r.rule for r in REWRITES)]
+    assert not [r.rule_id for r in rules if not any(re.search(r.regex, t, re.I | re.M) for t in texts)]
+    assert all(any(re.search(rf"\b{t}\b", x, re.I) for x in texts for t in c.terms) for c in LEXICON)

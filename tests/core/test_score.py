@@ -11,7 +11,7 @@ from plumbline.plans.planted import SNIPPETS
 from plumbline.rules import ALL_IDS, LEXICON, RULES
 from plumbline.settings import DIMENSIONS, Settings, resolve
 
-SLOP = " ".join(SNIPPETS[i] for i in (0, 1, 2, 4, 5, 10, 12)) * 2
+SLOP = " ".join(s for s in (*SNIPPETS[:3], *SNIPPETS[4:6], SNIPPETS[10], SNIPPETS[-1])) * 2
 CLEAN = "The crew laid 14 beams on 3 May 1998 near Ghent. Anna Weber wrote it down, and Paul Krause held the lamp for 2 hours. " * 6
 
 
