@@ -10,10 +10,14 @@ repetitions within windows of a few million n-grams; the order decides how much
    threshold asks of small sets) in both prefixes. Prefix n-grams meet by a shuffle; those of one set only end there.
 3. The n-grams' lists of sets are brought together by their least member, the lists' co-occurrences counted,
    and the counts of a pair added up. Pairs with enough of them, and of sizes that allow the threshold, are
-   candidates, and each is given to one of its leaders.
+   candidates, and each is given to one of its leaders. Where many of a leader's sets are candidates of one another
+   (a dense group) a star of them goes on instead of their pairs; stars that meet, and what is a candidate of a
+   set in one, make one group. Pairs within a group are no candidates any more.
 4. A leader's sets are put into a prefix tree, whose paths share the overlaps with all other sets, node by
    node; a subtree goes as soon as its remaining length can't bring any set to the threshold. What arrives
    at the leaves are exact overlaps.
+5. A group's sets are cut into blocks; each pair of blocks is a task, which takes all overlaps by matrix products and hands
+   on each set's number of links and what connects the linked ones: rows grow with the sets, not with their links.
 
 A list of more than LIST sets is cut into blocks by the sets' hash, and each pair of blocks goes on as a leader of
 its own: no task gets more than two blocks of a hot n-gram's sets, and no pair is lost. There is no cap on list
@@ -47,6 +51,10 @@ WINDOW, FREQUENT = 4_000_000, 2
 BROADCAST = 2_000_000
 #: Sets of one n-gram, about, that are paired in one task.
 LIST = 2048
+#: Candidates of one another that make a group at least; sets and n-grams in a block of a group, about.
+DENSE, BLOCK, BLOCK_GRAMS = 64, 2048, 1_000_000
+#: A leader of more sets hands out its pairs one by one.
+WIDE = 6144
 #: Sorts before every n-gram that is frequent.
 _TOP = np.uint64(1 << 63)
 
@@ -206,7 +214,7 @@ def _listed(leader: np.ndarray, cut: np.ndarray, prints: np.ndarray, size: np.nd
 
 def _blocked(prints: np.ndarray, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """A long list as a row for each pair of blocks, whose sets are told by hash, so that other lists of the leader have the same ones."""
-    parts = 1 << int(np.ceil(np.log2(len(prints) / most)) + 1)
+    parts = 1 << int(np.ceil(np.log2(len(prints) / most)))
     of = (mix(prints.view(np.uint64)) & np.uint64(parts - 1)).astype(np.int64)
     order = np.argsort(of, kind="stable")
     ends = np.searchsorted(of[order], np.arange(parts + 1))
@@ -224,8 +232,46 @@ def _blocked(prints: np.ndarray, size: np.ndarray, most: int) -> Iterator[pa.Rec
             yield _listed(leader, np.array(at), prints[every], size[every], np.array([len(r) for r in rows]))
 
 
-def _pairs(threshold: float):
-    """Sorted (leader, cut, prints, sizes) to pairs (a, b, common, leader) by how many lists of the leader hold both."""
+def _spanned(linked_: np.ndarray) -> np.ndarray:
+    """Of a symmetric matrix of links: the least member of each one's component."""
+    n = len(linked_)
+    label = np.full(n, -1)
+    for i in range(n):
+        if label[i] >= 0:
+            continue
+        seen = np.zeros(n, bool)
+        seen[i], front = True, np.array([i])
+        while len(front):
+            reach = np.zeros(n, bool)
+            for s in range(0, len(front), 512):
+                reach |= linked_[front[s : s + 512]].any(axis=0)
+            front = np.flatnonzero(reach & ~seen)
+            seen |= reach
+        label[seen] = i
+    return label
+
+
+def _dense(fit: np.ndarray, both: np.ndarray, sizes: np.ndarray, side: np.ndarray | None, threshold: float, common: int, dense: int) -> np.ndarray:
+    """For each set the first of its dense group, or -1. fit: which pairs count."""
+    n = len(sizes)
+    sure = np.empty((n, n), bool)
+    for s in range(0, n, 512):
+        need = np.minimum(common, np.ceil(threshold * np.maximum(sizes[s : s + 512, None], sizes) - 1e-9))
+        sure[s : s + 512] = fit[s : s + 512] & (both[s : s + 512] >= need)
+    label = _spanned(sure)
+    members = np.bincount(label, minlength=n)
+    left = members / 2 if side is None else np.bincount(label, side == 0, minlength=n)
+    links = np.bincount(label, sure.sum(axis=1), minlength=n) / 2
+    # at least a quarter of the pairs
+    yes = (members >= dense) & (links * 4 >= left * (members - (left if side is not None else 1)))
+    return np.where(yes[label], label, -1)
+
+
+def _pairs(threshold: float, common: int, dense: int | None):
+    """Sorted (leader, cut, prints, sizes) to pairs (a, b, common, leader) by how many lists of the leader hold both.
+
+    Of a dense group come pairs of its first set and each one, itself too, with common 0, and no other pairs.
+    """
 
     def run(batches):
         for t in _runs(batches):
@@ -248,7 +294,8 @@ def _pairs(threshold: float):
                     side = np.zeros(len(docs), np.int8)
                     side[col] = np.arange(len(own)) - np.repeat(ends[lo:hi] - ends[lo], lens[lo:hi]) >= np.repeat(split[lo:hi], lens[lo:hi])
                 width = min(len(docs), 512)
-                for s in range(0, len(docs), width):
+
+                def counted(s):
                     both = np.zeros((min(width, len(docs) - s), len(docs)), np.float32)
                     for g in range(lo, hi, 256):  # some lists at a time
                         g_end = min(hi, g + 256)
@@ -256,12 +303,29 @@ def _pairs(threshold: float):
                         has = np.zeros((g_end - g, len(docs)), np.float32)
                         has[np.repeat(np.arange(g_end - g), lens[g:g_end]), col[part]] = 1
                         both += has[:, s : s + width].T @ has
-                    x, y = np.nonzero(both)
-                    ok = (x + s < y) & (np.minimum(sizes[x + s], sizes[y]) >= threshold * np.maximum(sizes[x + s], sizes[y]) - 1e-9)
+                    rows = slice(s, s + width)
+                    fit = (both > 0) & (np.minimum(sizes[rows, None], sizes) >= threshold * np.maximum(sizes[rows, None], sizes) - 1e-9)
+                    fit[np.arange(len(both)), np.arange(s, s + len(both))] = False
                     if side is not None:
-                        ok &= side[x + s] != side[y]
-                    x, y = x[ok], y[ok]
-                    out.append((docs[x + s], docs[y], both[x, y].astype(np.int64), np.full(len(x), leaders[lo]), np.maximum(sizes[x + s], sizes[y])))
+                        fit &= side[rows, None] != side
+                    return both, fit
+
+                group = None
+                if dense is not None and dense <= len(docs) <= WIDE:
+                    parts = list(zip(*((b.astype(np.uint16), f) for b, f in map(counted, range(0, len(docs), width)))))
+                    both, fit = (np.concatenate(x) for x in parts)
+                    del parts
+                    group = _dense(fit, both, sizes, side, threshold, common, dense)
+                    some = np.flatnonzero(group >= 0)
+                    if len(some):
+                        out.append((docs[group[some]], docs[some], np.zeros(len(some)), np.zeros(len(some)), sizes[some]))
+                for s in range(0, len(docs), width):
+                    near, ok = counted(s) if group is None else (both[s : s + width], fit[s : s + width])
+                    if group is not None:
+                        ok &= (group[s : s + width, None] != group) | (group < 0)
+                    x, y = np.nonzero(ok)
+                    x, y = x[x + s < y], y[x + s < y]
+                    out.append((docs[x + s], docs[y], near[x, y].astype(np.int64), np.full(len(x), leaders[lo]), np.maximum(sizes[x + s], sizes[y])))
                     if sum(len(o[0]) for o in out) > 200_000:
                         yield _paired(out)
                         out = []
@@ -340,29 +404,140 @@ def tree_join(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, i
         i += 1
 
 
-def _tree_joins(threshold: float):
-    """Sorted (leader, print, grams) to (a, b, jaccard) within each leader's sets."""
+def _overlaps(flat: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many n-grams each of the left and each of the right sets (by number) have in common."""
+    names, code = np.unique(flat, return_inverse=True)
+    sizes = np.diff(bounds)
+    over = np.zeros((len(left), len(right)), np.float32)
+
+    def entries(some):
+        at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in some.tolist()])
+        row, own = np.repeat(np.arange(len(some)), sizes[some]), code[at]
+        return row, own, np.bincount(own, minlength=len(names))
+
+    (row_l, code_l, n_l), (row_r, code_r, n_r) = entries(left), entries(right)
+    weight = n_l * n_r
+    heavy = weight > max(64, len(left) * len(right) // 128)
+    rank = np.cumsum(heavy) - 1
+
+    def by_rank(row, own):
+        keep = heavy[own]
+        row, own = row[keep], rank[own[keep]]
+        order = np.argsort(own, kind="stable")
+        return row[order], own[order]
+
+    (x, i), (y, j) = by_rank(row_l, code_l), by_rank(row_r, code_r)
+    for c in range(0, int(heavy.sum()), 512):
+        a, b = np.zeros((len(left), 512), np.float32), np.zeros((len(right), 512), np.float32)
+        for m, rows, cols in ((a, x, i), (b, y, j)):
+            own = slice(*np.searchsorted(cols, [c, c + 512]))
+            m[rows[own], cols[own] - c] = 1
+        over += a @ b.T
+    order = np.argsort(code_r, kind="stable")
+    posting, begin = row_r[order], np.cumsum(n_r) - n_r
+    keep = ~heavy[code_l] & (n_r[code_l] > 0)
+    x, i = row_l[keep], code_l[keep]
+    ends, flat_over = np.cumsum(n_r[i]), over.reshape(-1)
+    s = 0
+    while s < len(x):  # the others one by one, a million at a time
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 1_000_000, side="right")))
+        n = n_r[i[s:e]]
+        at = np.repeat(begin[i[s:e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(flat_over, np.repeat(x[s:e] * len(right), n) + posting[at], np.float32(1))
+        s = e
+    return over
+
+
+def group_links(flat: np.ndarray, bounds: np.ndarray, side: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its number of links, where each linked set counts as its copies, and the first set that links connect it to.
+
+    Links are those of sets of side 0 with sets of side 1, or, of sets of side 2, all.
+    """
+    n, size = len(side), np.diff(bounds)
+    left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+    links, square = np.zeros(n), np.zeros((n, n), bool)
+    if len(left) and len(right):
+        over = _overlaps(flat, bounds, left, right)
+        for s in range(0, len(left), 256):
+            own = left[s : s + 256]
+            near = over[s : s + 256].astype(np.float64) * (1 + threshold) >= threshold * (size[own, None] + size[right]) - 1e-9
+            near &= own[:, None] != right
+            square[np.ix_(own, right)] = near
+            links[own] = near @ copies[right].astype(np.float64)
+            if (side != 2).all():
+                square[np.ix_(right, own)] = near.T
+                links[right] += copies[own].astype(np.float64) @ near
+    return links, _spanned(square)
+
+
+_FOUND = "kind tinyint, a bigint, b bigint, value double"
+
+
+def _exact(threshold: float):
+    """Sorted (leader, print, side, copies, grams) to rows: 0, a, b, jaccard of the pairs of a leader (side 3); of a group's blocks 1, connected sets, and 2, a set and its links."""
 
     def run(batches):
         for t in _runs(batches):
-            leaders, prints = t.column(0).to_numpy(), t.column(1).to_numpy()
-            flat = t.column(2).combine_chunks().flatten().to_numpy().view(np.uint64)
-            ends = np.r_[0, np.cumsum(pc.list_value_length(t.column(2)).to_numpy())]
+            leaders, prints, sides, copies = (t.column(i).to_numpy() for i in range(4))
+            flat = t.column(4).combine_chunks().flatten().to_numpy().view(np.uint64)
+            ends = np.r_[0, np.cumsum(pc.list_value_length(t.column(4)).to_numpy())]
             cuts, rows = _cuts(leaders), []
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, first = np.unique(prints[lo:hi], return_index=True)
                 sets = [flat[ends[lo + i] : ends[lo + i + 1]] for i in first.tolist()]
+                if sides[lo] != 3:
+                    links, root = group_links(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])], sides[lo:hi][first], copies[lo:hi][first], threshold)
+                    some = np.flatnonzero(root != np.arange(len(own)))
+                    yield _rows(1, own[root[some]], own[some], np.zeros(len(some)))
+                    some = np.flatnonzero(links)
+                    yield _rows(2, own[some], own[some], links[some])
+                    continue
                 for x, y, both in tree_join(sets, threshold):
                     a, b = sorted((int(own[x]), int(own[y])))
                     rows.append((a, b, both / (len(sets[x]) + len(sets[y]) - both)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
+                yield _rows(0, *(np.array(x, k) for x, k in zip(zip(*rows), (np.int64, np.int64, np.float64))))
 
     return run
 
 
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(value)], ["kind", "a", "b", "value"])
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df, which is stored, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _groups(candidates: DataFrame, documents: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups (print, root), each pair of their blocks (leader, print, side, copies), and the candidates that are in none by themselves."""
+    stars, rest = candidates.where("star"), candidates.where("not star")
+    core = _small(checkpoint(stars.select(F.col("b").alias("_core")).distinct()), most)
+    at = lambda c: F.col(f"{c}._core")
+    rest = rest.join(core.alias("x"), F.col("a") == at("x"), "left").join(core.alias("y"), F.col("b") == at("y"), "left")
+    rest = checkpoint(rest.select("a", "b", "leader", "larger", (at("x").isNotNull() | at("y").isNotNull()).alias("joins")))
+    edges = stars.select("a", "b", "larger").unionByName(rest.where("joins").select("a", "b", "larger"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("print"), "larger").groupBy("print").agg(F.max("larger").alias("size"))
+    root = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("print"), F.col("v").alias("root"))
+    copies = documents.groupBy("print").agg(F.count("*").alias("copies"))
+    nodes = checkpoint(nodes.join(root, "print", "left").join(copies, "print").select("print", F.coalesce("root", "print").alias("root"), "size", "copies"))
+    parts = nodes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).alias("parts"))
+    blocks_ = nodes.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("print"), "parts"))
+    blocks_ = blocks_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    blocks_ = blocks_.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("leader"), "print", side.alias("side"), "copies")
+    return nodes.select("print", "root"), blocks_, rest.where("not joins")
+
+
 def members_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST, most: int = LIST) -> tuple[DataFrame, DataFrame]:
-    """Documents and their sets (print, id; distinct), and pairs of sets (a, b, jaccard)."""
+    """Documents and their sets (print, id; distinct), and pairs of sets (a, b, jaccard), those of dense groups among them."""
+    documents, found = _joined(docs, n, threshold, common, broadcast, most, None)
+    return documents, found.select("a", "b", F.col("value").alias("jaccard"))
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, common: int, broadcast: int, most: int, dense: int | None) -> tuple[DataFrame, DataFrame]:
+    """Documents and their sets (print, id; distinct), and, each once, the rows of _exact()."""
     docs, spark = _narrow(docs), docs.sparkSession
     some = docs.where("text is not null")
     first = checkpoint(some.mapInArrow(_first_pass(n), "kind tinyint, a bigint, b bigint"))
@@ -375,15 +550,21 @@ def members_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
 
     prefixes = some.mapInArrow(_prefixes(model, n, threshold, common), "gram bigint, print bigint, size int")
     by_gram = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_lists(most), "leader bigint, cut int, prints array<bigint>, sizes array<int>")
-    counted = by_gram.repartition("leader").sortWithinPartitions("leader").mapInArrow(_pairs(threshold), "a bigint, b bigint, common int, leader bigint, larger int")
+    counted = by_gram.repartition("leader").sortWithinPartitions("leader").mapInArrow(_pairs(threshold, common, dense), "a bigint, b bigint, common int, leader bigint, larger int")
     # the set that shares a pair's most lists is its leader; what small sets can't have in common isn't asked
-    candidates = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max_by("leader", "common").alias("leader"), F.max("larger").alias("larger"))
-    candidates = candidates.where(F.col("common") >= F.least(F.lit(common), F.ceil(F.lit(threshold) * F.col("larger") - 1e-9)))
-    members = candidates.select("leader", F.explode(F.array("a", "b")).alias("print")).distinct()
-    members = checkpoint(members)
+    candidates = counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max_by("leader", "common").alias("leader"), F.max("larger").alias("larger"), (F.min("common") == 0).alias("star"))
+    candidates = candidates.where(F.col("star") | (F.col("common") >= F.least(F.lit(common), F.ceil(F.lit(threshold) * F.col("larger") - 1e-9))))
+    candidates = checkpoint(candidates.select("a", "b", "leader", "larger", "star"))
     model.destroy()
-    del prefixes, by_gram, counted, candidates
+    del prefixes, by_gram, counted
     release(spark)
+    groups = None
+    if dense is not None and not candidates.where("star").isEmpty():
+        groups, blocks_, candidates = _groups(candidates, documents, broadcast)
+    members = candidates.select("leader", F.explode(F.array("a", "b")).alias("print")).distinct().select("leader", "print", F.lit(3).alias("side"), F.lit(0).cast("bigint").alias("copies"))
+    if groups is not None:
+        members = members.unionByName(blocks_)
+    members = checkpoint(members)
     wanted = members.select("print").distinct()
     chosen = None
     if wanted.count() <= broadcast:
@@ -410,9 +591,14 @@ def members_and_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
                 yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), lists(own.view(np.int64), size, pa.int64())], ["print", "grams"])
 
     bodies = some.mapInArrow(sets, "print bigint, grams array<bigint>")
-    together = members.join(bodies.hint("shuffle_hash") if chosen is None else bodies, "print").select("leader", "print", "grams")
-    pairs = together.repartition("leader").sortWithinPartitions("leader").mapInArrow(_tree_joins(threshold), "a bigint, b bigint, jaccard double")
-    return documents, pairs.groupBy("a", "b").agg(F.first("jaccard").alias("jaccard"))
+    together = members.join(bodies.hint("shuffle_hash") if chosen is None else bodies, "print").select("leader", "print", "side", "copies", "grams")
+    found = together.repartition("leader").sortWithinPartitions("leader").mapInArrow(_exact(threshold), _FOUND)
+    if groups is None:
+        return documents, found.groupBy("kind", "a", "b").agg(F.first("value").alias("value"))
+    found = checkpoint(found)
+    pairs, groups = found.where("kind = 0").groupBy("kind", "a", "b").agg(F.first("value").alias("value")), _small(groups, broadcast)
+    same = pairs.join(groups.select(F.col("print").alias("a"), F.col("root").alias("x")), "a", "left").join(groups.select(F.col("print").alias("b"), F.col("root").alias("y")), "b", "left")
+    return documents, same.where("x is null or y is null or x <> y").select("kind", "a", "b", "value").unionByName(found.where("kind > 0"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -435,13 +621,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _classes(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def _classes(documents: DataFrame, found: DataFrame) -> DataFrame:
     """Each set that has several documents or is in a pair: print, class_id, n_links (those of one of its documents)."""
-    pairs = checkpoint(pairs.select("a", "b"))
-    release(pairs.sparkSession)
+    found = checkpoint(found)
+    release(found.sparkSession)
+    pairs = found.where("kind = 0").select("a", "b")
     sizes = documents.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("size"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.select(F.col("print").alias("b"), "size"), "b").groupBy(F.col("a").alias("print")).agg(F.sum("size").alias("others"))
+    others = both.join(sizes.select(F.col("print").alias("b"), "size"), "b").select(F.col("a").alias("print"), "size")
+    others = others.unionByName(found.where("kind = 2").select(F.col("a").alias("print"), F.col("value").cast("bigint").alias("size")))
+    others = others.groupBy("print").agg(F.sum("size").alias("others"))
+    pairs = found.where("kind < 2").select("a", "b")
     root = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("print"), F.col("v").alias("root"))
     each = sizes.join(others, "print", "left").where("size > 1 or others is not null").join(root, "print", "left")
     each = checkpoint(each.select("print", F.coalesce("root", "print").alias("root"), "least", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
@@ -449,10 +639,10 @@ def _classes(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return each.join(least, "root").select("print", "class_id", "n_links")
 
 
-def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST, most: int = LIST) -> DataFrame:
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, common: int = COMMON, broadcast: int = BROADCAST, most: int = LIST, dense: int = DENSE) -> DataFrame:
     """(doc_id, class_id, n_links) of every document."""
-    documents, pairs = members_and_pairs(docs, n, threshold, common, broadcast, most)
-    classes = checkpoint(_classes(documents, pairs))
+    documents, found_ = _joined(docs, n, threshold, common, broadcast, most, dense)
+    classes = checkpoint(_classes(documents, found_))
     if classes.count() <= broadcast:
         classes = F.broadcast(classes)
     own = F.when(F.col("class_id").isNull() & F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id"))

@@ -100,3 +100,21 @@ def test_repeated_ids_and_rows_without_one(spark):
     # 8 is the only plain one with b, 9 with c; a's rows have no plain one, one stays
     assert [x for x in kept if x[1] in (b, c)] == [(8, b), (9, c)]
     assert len([x for x in kept if x[1] == a]) == 1 and len([x for x in kept if x[1] is None]) == 2 and len([x for x in kept if x[1] == "!"]) == 1
+
+
+@pytest.mark.parametrize("dense, block, most", [(4, 8, ngram_join.LIST), (4, 8, 16), (20, 2048, 4)])
+def test_links_of_dense_groups_are_counted_by_blocks(spark, monkeypatch, dense, block, most):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = families()
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rows[::7])]  # copies count as links
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert got(ngram_join.linked(docs, most=most, dense=dense)) == brute_links(rows)
+
+
+def test_rows_of_a_dense_group_do_not_grow_with_its_links(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: i % 50], f"v{i}", *base[i % 50 :]])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert got(ngram_join.linked(docs)) == {(i, 0, 299) for i in range(300)}
+    _, found = ngram_join._joined(docs, ngram_join.N, 0.5, ngram_join.COMMON, ngram_join.BROADCAST, ngram_join.LIST, ngram_join.DENSE)
+    assert found.count() <= 600  # of 44850 pairs
