@@ -150,6 +150,21 @@ def word_hashes(buf: np.ndarray, word: np.ndarray = WORD, chunk: int = 1 << 20)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def span_hashes(buf: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each of the spans of bytes that follow one another in buf up to these ends."""
+    found, i, at = [np.zeros(0, np.uint64)], 0, 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, at + chunk, side="right")))
+        part, e = buf[at : ends[j - 1]], ends[i:j] - at
+        s = np.r_[0, e[:-1]]
+        r, inv = _power(len(part) + 1)
+        p = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * r[: len(part)], out=p[1:])
+        found.append(mix((p[e] - p[s]) * inv[s]))
+        i, at = j, int(ends[j - 1])
+    return np.concatenate(found)
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k successive word hashes: len(h) - k + 1 of them."""
     n = len(h) - k + 1

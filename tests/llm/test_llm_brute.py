@@ -10,9 +10,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from plumbline.llm import ann, bpe, hmm, langid, ngram_join, quality, queries, secrets, templates, warc, winnow
-from plumbline.llm.common import table, word_hashes
+from plumbline.llm.common import span_hashes, table, word_hashes
 
 from ..conftest import SMALL
 
@@ -133,6 +134,38 @@ def test_bpe_is_the_tokenizers_own():
     assert auto.decode(labels) == "".join(texts).encode()
 
 
+def test_bpe_pieces_are_those_of_the_expression():
+    rng = random.Random(11)
+    signs = ["'", "'s", "'ll", "'re", "'v", " ", "  ", "\n", "\u00a0", "\u3000", "a", "ll", "é", "5", "²", "-", "\x00", "日", "🤖", "\u0301", "\x1c"]
+    texts = ["", "'", " '", "'s", "'l", *("".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(6000)), "x'", "s", "'", "re", " ", "a"]
+    data, lens, sizes = bpe.pieces(texts)
+    want = [regex.findall(bpe.PRE_SPLIT, t) for t in texts]
+    assert data.tobytes() == "".join(texts).encode() and sizes.tolist() == [len(w) for w in want]
+    assert lens.tolist() == [len(p.encode()) for w in want for p in w]
+    assert [x.tolist() for x in bpe.pieces([])] == [[], [], []]
+
+
+def test_bpe_spells_a_word_once_and_minds_equal_hashes(monkeypatch):
+    auto, ids = bpe.load()
+    spelled = []
+    monkeypatch.setattr(bpe.Automaton, "spell", lambda self, data, lens, own=bpe.Automaton.spell: spelled.append(len(lens)) or own(self, data, lens))
+    parts = [pa.array([" ".join(f"w{k:x}" for k in range(i, i + 60_000))]) for i in range(0, 240_000, 60_000)]
+    encoder = bpe.Encoder(auto, ids)
+    first = [encoder.labels(p)[0] for p in parts]
+    once = sum(spelled)
+    assert all(np.array_equal(a, encoder.labels(p)[0]) for a, p in zip(first, parts)) and sum(spelled) == once
+    text = pa.array(["one two three", "", None, "two" + "x" * 99, "'tis 3"])
+    labels, counts = bpe.Encoder(auto, ids).labels(text)
+    data, ends = np.frombuffer(b"the cat the  the", np.uint8), np.array([3, 7, 11, 12, 12, 16])
+    assert np.array_equal(span_hashes(data, ends), span_hashes(data, ends, 1)) and len(set(span_hashes(data, ends).tolist())) == 5
+    monkeypatch.setattr(bpe, "span_hashes", lambda buf, ends: np.zeros(len(ends), np.uint64))
+    encoder = bpe.Encoder(auto, ids)
+    for _ in range(2):
+        again, n = encoder.labels(text)
+        assert np.array_equal(again, labels) and np.array_equal(n, counts)
+    assert auto.decode(again) == "".join(x or "" for x in text.to_pylist()).encode()
+
+
 def merged(merges, word):
     out = [bytes([x]) for x in word]
     for u, v in merges:
