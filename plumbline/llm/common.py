@@ -94,10 +94,11 @@ def joined(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def byte_table(chars: bytes, high: bool = True) -> np.ndarray:
@@ -124,6 +125,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["r"], _powers["i"]
 
 
+def _prefix_sums(part: np.ndarray, r: np.ndarray) -> np.ndarray:
+    p = np.zeros(len(part) + 1, np.uint64)
+    p[1:] = part
+    p[1:] += np.uint64(1)
+    p[1:] *= r[: len(part)]
+    return np.cumsum(p, out=p)
+
+
 def word_hashes(buf: np.ndarray, word: np.ndarray = WORD, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, start and end of each run of word bytes. Long buffers go chunk by chunk, cut between words."""
     found, at = [], 0
@@ -141,8 +150,7 @@ def word_hashes(buf: np.ndarray, word: np.ndarray = WORD, chunk: int = 1 << 20)
         step = np.diff(inside)
         s, e = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         r, inv = _power(max(len(part), 1))
-        p = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * r[: len(part)], out=p[1:])
+        p = _prefix_sums(part, r)
         found.append((mix((p[e] - p[s]) * inv[s]), s + at, e + at))
         at = end
     if not found:
@@ -158,8 +166,7 @@ def span_hashes(buf: np.ndarray, ends: np.ndarray, chunk: int = 1 << 20) -> np.n
         part, e = buf[at : ends[j - 1]], ends[i:j] - at
         s = np.r_[0, e[:-1]]
         r, inv = _power(len(part) + 1)
-        p = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * r[: len(part)], out=p[1:])
+        p = _prefix_sums(part, r)
         found.append(mix((p[e] - p[s]) * inv[s]))
         i, at = j, int(ends[j - 1])
     return np.concatenate(found)
@@ -172,7 +179,8 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     g = np.zeros(n, np.uint64)
     for j in range(k):
-        g = g * np.uint64(_R) + h[j : j + n]
+        g *= np.uint64(_R)
+        g += h[j : j + n]
     return mix(g)
 
 

@@ -41,31 +41,35 @@ def grams(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every n-gram of every text, and the number of the text it is from."""
     buf, starts = joined(pc.utf8_lower(text))
     letter = _LETTER[buf]
-    keep = letter | np.r_[True, letter[:-1]]  # of a run of other bytes, the first
+    keep = letter.copy()
+    keep[:1] = True
+    keep[1:] |= letter[:-1]  # of a run of other bytes, the first
     ends = starts[1:] - 1
     keep[ends] = True  # the END after a text, so that no n-gram spans two
-    chars = np.where(letter, buf, 32).astype(np.uint64)
+    chars = np.where(letter, buf, np.uint8(32))
     chars[ends] = 0xFF
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[keep]
+    before = np.r_[0, np.cumsum(keep)][starts]  # how many are kept before each text
     chars = chars[keep]
     if len(chars) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = len(chars) - n + 1
-    key, whole, any_letter = np.zeros(m, np.uint64), np.ones(m, bool), np.zeros(m, bool)
-    for j in range(n):
-        c = chars[j : j + m]
-        key = (key << np.uint64(8)) | c
-        whole &= c != 0xFF
-        any_letter |= c != 32
-    whole &= any_letter
-    return mix(key[whole]), owner[:m][whole]
+    within, blank = chars != 0xFF, chars == 32
+    key, whole, blanks = chars[:m].astype(np.uint64), within[:m].copy(), blank[:m].copy()
+    for j in range(1, n):
+        key <<= np.uint64(8)
+        key |= chars[j : j + m]
+        whole &= within[j : j + m]
+        blanks &= blank[j : j + m]
+    whole &= ~blanks
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(np.r_[0, np.cumsum(whole)][np.minimum(before, m)]))
+    return mix(key[whole]), owner
 
 
 def places(h: np.ndarray, bits: int, hashes: int):
     """The positions of each n-gram in the filter, one array for each hash function."""
     fresh = lambda j: mix(h + np.uint64(j)) >> np.uint64(64 - bits)
     own = lambda j: (h >> np.uint64(bits * j)) & np.uint64((1 << bits) - 1)
-    return [(own(j) if bits * (j + 1) <= 64 else fresh(j)).astype(np.int64) for j in range(hashes)]
+    return [(own(j) if bits * (j + 1) <= 64 else fresh(j)).view(np.int64) for j in range(hashes)]
 
 
 @dataclass
@@ -100,8 +104,13 @@ class Filters:
         mask = self.table[at[0]]
         for x in at[1:]:
             mask &= self.table[x]
+        # texts by masks, if those are few: a mask's count is a hit for each of its bits
+        few = np.bincount(owner * 256 + mask, minlength=256 * len(text)).reshape(-1, 256) if mask.dtype == np.uint8 else None
         for i in range(len(self.languages)):
-            hits = np.bincount(owner, (mask >> mask.dtype.type(i)) & mask.dtype.type(1), minlength=len(text))
+            if few is None:
+                hits = np.bincount(owner, (mask >> mask.dtype.type(i)) & mask.dtype.type(1), minlength=len(text))
+            else:
+                hits = few @ (np.arange(256) >> i & 1)
             out[:, i] = (hits / np.maximum(total, 1) - self.false[i]) / max(1e-9, 1 - self.false[i])
         out[total == 0] = 0
         return np.clip(out, 0, 1), total

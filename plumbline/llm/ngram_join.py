@@ -65,13 +65,18 @@ def gram_sets(text: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     h, at, _ = word_hashes(buf)
     bounds = np.searchsorted(at, starts)
     grams = gram_hashes(h, n)
-    found, sizes = [], []
+    found, sizes = [grams[:0]], []
     for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         g = grams[s : e - n + 1] if e - s >= n else gram_hashes(h[s:e], e - s) if e > s else grams[:0]
-        g = np.unique(g >> np.uint64(1))
+        g = g >> np.uint64(1)
+        g.sort()
         found.append(g)
         sizes.append(len(g))
-    return np.concatenate(found) if found else grams[:0], np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    every, ends = np.concatenate(found), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    fresh = np.ones(len(every) + 1, bool)
+    fresh[1:-1] = every[1:] != every[:-1]
+    fresh[ends] = True
+    return every[fresh[:-1]], np.r_[0, np.cumsum(fresh[:-1])][ends]
 
 
 def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -137,20 +142,18 @@ def _prefixes(model, n: int, threshold: float, common: int):
         for _, prints, flat, bounds in _sets(batches, n):
             at = np.minimum(np.searchsorted(grams, flat), max(0, len(grams) - 1))
             often = np.where(grams[at] == flat, counts[at], 0) if len(grams) else np.zeros(len(flat), np.int64)
-            take, owner, seen = [], [], set()
+            take, owner, seen, every = [], [], set(), prints.tolist()
+            frequent = np.r_[0, np.cumsum(often > 0)][bounds]
+            some = (frequent[1:] > frequent[:-1]).tolist()
             for i, (s, e) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                if prints[i] in seen:
+                if every[i] in seen:
                     continue
-                seen.add(prints[i])
-                p, late = prefix_length(e - s, threshold, common), np.flatnonzero(often[s:e])
-                if len(late):
-                    order = np.r_[np.flatnonzero(often[s:e] == 0), late[np.argsort(often[s:e][late], kind="stable")]]
-                    take.append(s + order[:p])
-                else:
-                    take.append(np.arange(s, s + p))
-                owner.append(np.full(p, i))
+                seen.add(every[i])
+                p = prefix_length(e - s, threshold, common)
+                take.append(s + np.argsort(often[s:e], kind="stable")[:p] if some[i] else np.arange(s, s + p))
+                owner.append(i)
             if take:
-                t, o = np.concatenate(take), np.concatenate(owner)
+                t, o = np.concatenate(take), np.repeat(owner, [len(x) for x in take])
                 size = np.diff(bounds).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[t].view(np.int64)), pa.array(prints[o]), pa.array(size[o])], ["gram", "print", "size"])
 
