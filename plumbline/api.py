@@ -22,7 +22,7 @@ class Scanner:
 
     def table(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with scores, evidence and, with a profile, deviations."""
-        out = evidence.with_evidence(score(docs, self.settings, text), self.settings)
+        out = evidence.with_evidence(score(docs, self.settings, text, places=True), self.settings)
         return calibrate.beside(out, self.baseline) if self.baseline is not None else out
 
     def files(self, paths: list[str], recursive: bool = False, json_path: str | None = None) -> DataFrame:

@@ -85,7 +85,7 @@ def _scan(spark: SparkSession, args: argparse.Namespace, settings: st.Settings)
         for r in batch.by_paragraph(docs, settings, "source").orderBy(F.desc("slop_score"), "source", "paragraph").toLocalIterator():
             print(f"{r.slop_score:5.1f} {r.label:8} {r.source} paragraph {r.paragraph + 1}: {' '.join(r.text.split())[:80]}")
         return 0
-    scored = evidence.with_evidence(score(docs, settings), settings)
+    scored = evidence.with_evidence(score(docs, settings, places=True), settings)
     extra: tuple[str, ...] = ()
     if args.calibration:
         scored, extra = calibrate.beside(scored, calibrate.read(spark, _at(args.calibration))), ("deviations",)

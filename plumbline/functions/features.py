@@ -280,18 +280,19 @@ def parallelism(settings: Settings) -> Column:
 _DEFAULTS = registry()
 
 
-def dimensions(prepared: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """prepared with a column for each dimension; a disabled one is 0 and isn't computed."""
-    from plumbline.functions.onepass import measure
+def dimensions(prepared: DataFrame, settings: Settings | None = None, places: bool = False) -> DataFrame:
+    """prepared with a column for each dimension; a disabled one is 0 and isn't computed. If asked, ``_located``, which evidence is made of, comes from the same pass."""
+    from plumbline.functions.onepass import bounded, measure
 
     settings = settings or Settings()
     build = registry()
     on = [d for d in DIMENSIONS if d not in settings.disabled_dimensions]
     usual = tuple(d for d in on if build[d] is _DEFAULTS.get(d))
-    if usual:
-        prepared = prepared.withColumn("_measured", measure(settings, usual))
+    if usual or places:
+        prepared = bounded(prepared).withColumn("_measured", measure(settings, usual, places))
     value = lambda d: F.col(f"_measured.{d}") if d in usual else F.coalesce(build[d](settings), F.lit(0.0)) if d in on else F.lit(0.0)
-    return prepared.withColumns({d: value(d) for d in DIMENSIONS}).drop("_measured")
+    located = {"_located": F.col("_measured.located")} if places else {}
+    return prepared.withColumns({d: value(d) for d in DIMENSIONS} | located).drop("_measured")
 
 
 def dimension(prepared: DataFrame, name: str, settings: Settings | None = None) -> DataFrame:

@@ -95,15 +95,20 @@ def warnings(settings: Settings) -> Column:
     return F.filter(F.array(*notes), lambda x: x.isNotNull())
 
 
-def score(docs: DataFrame, settings: Settings | None = None, text: str = "text", prepared: bool = False) -> DataFrame:
+def score(docs: DataFrame, settings: Settings | None = None, text: str = "text", prepared: bool = False, places: bool = False) -> DataFrame:
     """docs with dimensions, ``slop_score`` (0 to 100), ``label``, ``confidence``, ``abstained`` and its reason.
 
     One narrow stage: a document's row is all it needs. Texts that are null or empty have no words, score by their
-    lack of concrete items alone, and abstain.
+    lack of concrete items alone, and abstain. With places, the pass over the texts also finds what with_evidence() needs.
     """
     settings = settings or Settings()
     out = docs if prepared else features.prepare(docs, settings, text)
-    out = features.dimensions(out, settings).withColumn("_outcome", outcome(settings))
+    return judged(features.dimensions(out, settings, places), settings)
+
+
+def judged(measured: DataFrame, settings: Settings) -> DataFrame:
+    """What score() adds to the dimensions of texts, which don't depend on the scorer and the strictness."""
+    out = measured.withColumn("_outcome", outcome(settings))
     out = out.withColumns({x: F.col(f"_outcome.{x}") for x in ("n_elevated", "slop_score")}).drop("_outcome")
     out = out.withColumns({"confidence": confidence(settings), "abstention_reason": abstention(settings)})
     raw = T.let(F.col("slop_score"), label_of)

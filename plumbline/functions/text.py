@@ -19,6 +19,7 @@ _LEADER = "․"
 _MOJIBAKE = {"â€™": "'", "â€˜": "'", "â€œ": '"', "â€\u009d": '"', "â€“": "–", "â€”": "—", "â€¦": "…", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Ã±": "ñ", "Â ": " "}
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+_TYPOGRAPHIC = "“”„‘’‚  "
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,7 +56,7 @@ def canonical(text: Column) -> Column:
     text = _when_has(text, ("â€", "Ã", "Â"), lambda x: _replaced(x, _MOJIBAKE))
     text = let(text, lambda x: F.when(F.contains(x, F.lit("&")) & ~F.contains(x, F.lit("<")), _replaced(x, _ENTITIES)).otherwise(x))
     text = _when_has(text, tuple(_LIGATURES), lambda x: _replaced(x, _LIGATURES))
-    text = F.translate(text, "“”„‘’‚  ", "\"\"\"'''\n\n")
+    text = _when_has(text, tuple(_TYPOGRAPHIC), lambda x: F.translate(x, _TYPOGRAPHIC, "\"\"\"'''\n\n"))
     text = _when_has(text, ("\r",), lambda x: F.regexp_replace(x, "\r\n?", "\n"))
     control = r"[\x00-\x08\x0B\x0E-\x1F\x7F]"
     return let(text, lambda x: F.when(F.rlike(x, F.lit(control)), F.regexp_replace(x, control, "")).otherwise(x))

@@ -39,7 +39,8 @@ def with_evidence(prepared: DataFrame, settings: Settings | None = None) -> Data
     settings = settings or Settings()
     df = prepared.withColumn("_comments", suppress.comments(F.col("original"), settings.comment_prefix))
     df = df.withColumns({"_silent": suppress.ranges(F.col("original"), F.col("_comments")), "_gone": T.collapsed(F.col("original"))})
-    df = df.withColumn("_located", onepass.locate(settings))
+    if "_located" not in df.columns:
+        df = onepass.bounded(df).withColumn("_located", onepass.locate(settings))
     if settings.suggest:
         df = df.withColumn("_rewritten", onepass.locate(settings, rewrites=True))
     df = df.withColumns({"_hits": hits(settings), "_rewrites": hits(settings, rewrites=True) if settings.suggest else F.array().cast(_NONE)})

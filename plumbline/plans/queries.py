@@ -354,7 +354,7 @@ def composition(spark: SparkSession, sf: str) -> DataFrame:
 
 def _report(name: str, column: Callable[[], Column]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = evidence.with_evidence(score(planted(spark, sf)))
+        rows = evidence.with_evidence(score(planted(spark, sf), places=True))
         return rows.select("doc_id", column().alias("report"))
 
     query(name)(run)
