@@ -20,12 +20,6 @@ def _valid(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label").isNotNull())
 
 
-def unit(rows: DataFrame) -> DataFrame:
-    """Scores divided by 100 if any is over 1."""
-    top = _valid(rows).agg(F.max("score").alias("_top"))
-    return _valid(rows).crossJoin(F.broadcast(top)).withColumn("p", F.when(F.col("_top") > 1, F.col("score") / 100).otherwise(F.col("score"))).drop("_top")
-
-
 def curve(rows: DataFrame) -> DataFrame:
     """For each distinct score from the highest: true and false positives at it or above, and all of each."""
     by = _valid(rows).groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"), F.count("score").alias("_n")).where("_n > 0")
@@ -56,13 +50,25 @@ def pr_auc(rows: DataFrame) -> DataFrame:
 
 
 def ece(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Mean distance of confidence and accuracy over equal bins, by their share of rows."""
-    by = unit(rows).groupBy(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("p").alias("n"), F.avg("p").alias("p"), F.avg("label").alias("y"))
+    """Mean distance of confidence and accuracy over equal bins, by their share of rows. Scores count as hundredths if any is over 1.
+
+    Which it is shows in the end: rows are read once, into the bins of both readings.
+    """
+    bin_of = lambda p: F.least(F.floor(p * bins), F.lit(bins - 1))
+    parts = _valid(rows).groupBy(bin_of(F.col("score") / 100).alias("_of_100"), bin_of(F.col("score")).alias("_of_1")).agg(
+        F.max("score").alias("_max"), F.count("score").alias("n"), F.sum(F.col("score") / 100).alias("_p_of_100"), F.sum("score").alias("_p_of_1"), F.count("label").alias("_labels"), F.sum("label").alias("_y")
+    )
+    hundred = F.max("_max").over(Window.partitionBy(F.lit(0))) > 1
+    read = parts.select(*(F.when(hundred, F.col(f"{c}_of_100")).otherwise(F.col(f"{c}_of_1")).alias(to) for c, to in (("", "bin"), ("_p", "p"))), "n", "_labels", "_y")
+    by = read.groupBy("bin").agg(F.sum("n").alias("n"), (F.sum("p") / F.nullif(F.sum("n"), F.lit(0))).alias("p"), (F.sum("_y") / F.sum("_labels")).alias("y"))
     return by.agg(F.round(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n"), 6).alias("ece"))
 
 
 def brier(rows: DataFrame) -> DataFrame:
-    return unit(rows).agg(F.round(F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2))), 6).alias("brier"))
+    """Mean squared distance of score and label. Scores count as hundredths if any is over 1; both means come from one pass."""
+    mean = lambda p: F.avg(F.pow(p - F.col("label"), F.lit(2)))
+    both = _valid(rows).agg(F.max("score").alias("top"), mean(F.col("score") / 100).alias("of_100"), mean(F.col("score")).alias("of_1"))
+    return both.select(F.round(F.when(F.col("top") > 1, F.col("of_100")).otherwise(F.col("of_1")), 6).alias("brier"))
 
 
 def risk_coverage(rows: DataFrame, at: float = FLAGGED) -> DataFrame:

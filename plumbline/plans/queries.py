@@ -207,9 +207,17 @@ def zscores(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf: str, settings: Settings | None = None) -> DataFrame:
     """Rows to evaluate on: low quality is the positive class, the language the subgroup."""
-    rows = score(planted(spark, sf), settings).select("doc_id", F.col("lang").alias("subgroup"), F.col("slop_score").alias("score"), "abstained")
-    labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
-    return rows.join(labels, "doc_id")
+    return _evaluated(score(_with_label(spark, sf), settings))
+
+
+def _with_label(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that have a label, which alone are scored."""
+    labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("_truth")).where("_truth is not null")
+    return planted(spark, sf).join(labels, "doc_id")
+
+
+def _evaluated(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", F.col("lang").alias("subgroup"), F.col("slop_score").alias("score"), "abstained", F.col("_truth").alias("label"))
 
 
 def _eval_sql(strictness: str = "conservative", scorer: str = "rules") -> str:

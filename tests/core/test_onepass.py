@@ -1,5 +1,6 @@
 """The one pass runs few expressions, holds small batches, and queries make it once."""
 
+import math
 import random
 import re
 
@@ -8,6 +9,7 @@ import pytest
 
 from plumbline.functions import onepass
 from plumbline.functions.gates import required
+from plumbline.operators import evaluate
 from plumbline.plans.planted import SNIPPETS
 from plumbline.plans.queries import QUERIES
 from plumbline.rules import REWRITES, RULES
@@ -106,10 +108,32 @@ def passes(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", ["report_html", "report_json", "report_markdown", "score_ml"])
+@pytest.mark.parametrize("name", ["brier", "ece", "pr_auc", "risk_coverage", "report_html", "report_json", "report_markdown", "score_ml"])
 def test_texts_are_passed_over_once(spark, name):
     assert passes(QUERIES[name](spark, SMALL)) == 1
 
 
+def test_only_documents_with_a_label_are_scored(spark):
+    plan = QUERIES["brier"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Join")  # the join is below it
+
+
+@pytest.mark.parametrize("top", [1.0, 100.0])
+def test_calibration_metrics_in_both_scales(spark, top):
+    rng = random.Random(int(top))
+    rows = [(rng.randrange(2), rng.randrange(1001) / 1000 * top) for _ in range(200)] + [(1, None), (None, 0.5 * top), (0, 0.0), (1, top)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    known = [(y, s / top) for y, s in rows if y is not None and s is not None]
+    assert math.isclose(evaluate.brier(df).first()[0], sum((s - y) ** 2 for y, s in known) / len(known), abs_tol=1e-6)
+    bins = {}
+    for y, s in [(y, None if s is None else s / top) for y, s in rows if y is not None]:
+        bins.setdefault(9 if s is None else min(int(s * 10 // 1), 9), []).append((y, s))
+    total = 0.0
+    for each in bins.values():
+        p = [s for _, s in each if s is not None]
+        total += len(p) * abs(sum(p) / len(p) - sum(y for y, _ in each) / len(each))
+    assert math.isclose(evaluate.ece(df).first()[0], total / len(known), abs_tol=1e-6)
+
+
 def test_an_empty_batch():
     assert onepass._placed([]).to_pylist() == [] and pa.types.is_list(onepass._placed([[]]).type)
