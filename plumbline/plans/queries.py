@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import features
 from plumbline.functions import text as T
-from plumbline.functions.scoring import contributions, score
+from plumbline.functions.scoring import contributions, judged, score
 from plumbline.operators import baseline, batch, calibrate, evaluate, evidence, suppress, training
 from plumbline.operators.stored import stored
 from plumbline.plans import oracle as o
@@ -275,7 +275,9 @@ def _gate_sql() -> str:
 
 @query("promotion_gate", _gate_sql())
 def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.promotion(_labelled(spark, sf), _labelled(spark, sf, Settings(scorer="ml")))
+    measured = features.dimensions(features.prepare(_with_label(spark, sf)))
+    once = stored(measured.select("doc_id", "lang", "_truth", "w", "language", "language_confidence", *DIMENSIONS))
+    return evaluate.promotion(*(_evaluated(judged(once, Settings(scorer=s))) for s in ("rules", "ml")))
 
 
 @query("fairness_rules", f"""{_EV}, cl AS (SELECT doc_id, documents.lang AS subgroup FROM documents JOIN labels USING (doc_id) WHERE quality = 1), n AS (SELECT subgroup, count(*) AS n_docs FROM cl GROUP BY subgroup),

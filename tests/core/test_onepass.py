@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from plumbline.functions import onepass
+from plumbline.functions import features, onepass
 from plumbline.functions.gates import required
 from plumbline.operators import evaluate
 from plumbline.plans.planted import SNIPPETS
@@ -118,6 +118,13 @@ def test_only_documents_with_a_label_are_scored(spark):
     assert plan.index("ArrowEvalPython") < plan.index("Join")  # the join is below it
 
 
+def test_both_scorers_share_their_dimensions(spark, monkeypatch):
+    calls, usual = [], features.dimensions
+    monkeypatch.setattr(features, "dimensions", lambda *a, **k: calls.append(1) or usual(*a, **k))
+    QUERIES["promotion_gate"](spark, SMALL)
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("top", [1.0, 100.0])
 def test_calibration_metrics_in_both_scales(spark, top):
     rng = random.Random(int(top))
