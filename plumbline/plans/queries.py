@@ -159,7 +159,7 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("new_findings", f"{_EV}, ok AS (SELECT * FROM k) SELECT doc_id, rule_id, {_PRINT} AS fingerprint FROM ok WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = ok.doc_id AND k.rule_id = ok.rule_id AND k.span = ok.span AND k.severity = 'low')")
 def new_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found = _find(spark, sf)
+    found = stored(_find(spark, sf).select("doc_id", "rule_id", "severity", "span"))
     return baseline.new(found, baseline.build(found.where("severity = 'low'"))).select("doc_id", "rule_id", "fingerprint")
 
 

@@ -125,6 +125,10 @@ def test_both_scorers_share_their_dimensions(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_new_findings_reads_what_it_found_once(spark):
+    assert passes(QUERIES["new_findings"](spark, SMALL)) == 0  # they are stored
+
+
 @pytest.mark.parametrize("top", [1.0, 100.0])
 def test_calibration_metrics_in_both_scales(spark, top):
     rng = random.Random(int(top))
