@@ -595,7 +595,8 @@ def score(symbols_of: DataFrame, model: Model | Kept) -> DataFrame:
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    """df, whose rows are blocks of some megabytes, written and read again. Each is a row group: the reader holds a group's rows at once, up to 4096."""
+    df.write.option("parquet.block.row.count.limit", 1).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

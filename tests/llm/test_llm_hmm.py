@@ -27,6 +27,17 @@ def test_pieces_are_their_sentence(most):
         assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
 
 
+def test_stored_blocks_are_read_one_by_one(spark, tmp_path):
+    """A reader's memory is that of a row group, which grew with the split; now each block is one."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}. More words.") for i in range(300)], "doc_id long, text string").repartition(2)
+    words = hmm.kept_vocabulary(docs, f"file://{tmp_path}/lm")
+    rows = hmm._stored(hmm.packed(docs, words, block=1000), f"file://{tmp_path}/lm/symbols")
+    groups = [m.row_group(i).num_rows for p in (tmp_path / "lm/symbols").glob("*.parquet") for m in [pq.ParquetFile(p).metadata] for i in range(m.num_row_groups)]
+    assert len(groups) == rows.count() > 6 and set(groups) == {1}
+
+
 def test_a_long_sentence_is_one_sequence():
     text = pa.array(["word " * 300, "a b. c"])
     h, _, owner, fresh = hmm.tokens(text)
