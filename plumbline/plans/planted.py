@@ -34,7 +34,8 @@ SNIPPETS = [
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    docs = docs.repartition(spark.sparkContext.defaultParallelism)  # the tables are files of one row group, that is one task
+    # the tables are files of one row group, that is one task; tasks grow in number with the input, not in size
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()))
     extra = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
     return docs.withColumn("text", F.concat("text", F.lit(" "), extra))
 

@@ -10,7 +10,7 @@ import pytest
 from plumbline.functions import features, onepass
 from plumbline.functions.gates import required
 from plumbline.operators import evaluate
-from plumbline.plans.planted import SNIPPETS
+from plumbline.plans.planted import SNIPPETS, planted
 from plumbline.plans.queries import QUERIES
 from plumbline.rules import REWRITES, RULES
 from plumbline.settings import DIMENSIONS, Settings
@@ -113,6 +113,15 @@ def test_texts_are_passed_over_once(spark, name):
     assert passes(QUERIES[name](spark, SMALL)) == 1
 
 
+def test_tasks_grow_in_number_with_the_input(spark):
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # as if there were many splits
+        assert planted(spark, SMALL).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
 def test_only_documents_with_a_label_are_scored(spark):
     plan = QUERIES["brier"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Join")  # the join is below it
